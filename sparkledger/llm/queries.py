@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkledger.functions.text import non_blank
+from sparkledger.llm.packing import fill_report, pack, token_counts
 from sparkledger.llm.survivors import survivors
 from sparkledger.llm.topn import top_n
 from sparkledger.plans.registry import Registry
+from sparkledger.sources.session import cut
 from sparkledger.sources.tables import table
 
 R = Registry()
@@ -62,3 +64,24 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     once = rows.groupBy("contract_transaction_unique_key").agg(F.max(F.struct("_load_seq", "contract_award_unique_key", "action_date")).alias("r"))
     top = top_n(once.where("r.contract_award_unique_key is not null"), F.col("r.contract_award_unique_key"), [("day", F.col("r.action_date"), True), ("contract_transaction_unique_key", F.col("contract_transaction_unique_key"), False)], 3)
     return top.select(F.col("group").alias("contract_award_unique_key"), "contract_transaction_unique_key", F.col("place").alias("place_no"))
+
+
+#: Capacity of a container in tokens.
+CAPACITY = 4096
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    import public_tokenizers as public
+
+    docs = token_counts(table(spark, d, "documents"), "doc_id", "text", public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    return pack(cut(docs), F.col("item"), F.col("n_tokens"), CAPACITY)
+
+
+@R.add("p8_containers")
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d).withColumnRenamed("item", "doc_id")
+
+
+@R.add("p8_fill")
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return fill_report(_packed(spark, d), CAPACITY)
