@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkledger.functions.text import non_blank
+from sparkledger.llm.leaks import leaked
 from sparkledger.llm.packing import fill_report, pack, token_counts
 from sparkledger.llm.survivors import survivors
 from sparkledger.llm.topn import top_n
@@ -85,3 +86,18 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
 @R.add("p8_fill")
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill_report(_packed(spark, d), CAPACITY)
+
+
+def _leaked(spark: SparkSession, d: str) -> DataFrame:
+    return leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+@R.add("p9_found")
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaked(spark, d).where("longest_run >= 13").select("doc_id", "item_id")
+
+
+@R.add("p9_scores")
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Edited copies too: all alignments of which half of the item's best score is reached."""
+    return _leaked(spark, d).where("share >= 0.5 or longest_run >= 13")
