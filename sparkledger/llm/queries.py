@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkledger.functions.text import non_blank
 from sparkledger.llm.leaks import leaked
+from sparkledger.llm.neighbours import nearest
 from sparkledger.llm.packing import fill_report, pack, token_counts
 from sparkledger.llm.survivors import survivors
 from sparkledger.llm.topn import top_n
@@ -101,3 +102,17 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 def p9_scores(spark: SparkSession, d: str) -> DataFrame:
     """Edited copies too: all alignments of which half of the item's best score is reached."""
     return _leaked(spark, d).where("share >= 0.5 or longest_run >= 13")
+
+
+@R.add("p4_found")
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    near = nearest(table(spark, d, "doc_vectors"), F.col("doc_id"), F.col("vec"))
+    return near.select(F.least("id", "other").alias("doc_id_a"), F.greatest("id", "other").alias("doc_id_b")).distinct()
+
+
+@R.add("p4_neighbours")
+def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest of every document, with the award that the neighbour stands for."""
+    vectors = table(spark, d, "doc_vectors")
+    near = nearest(vectors, F.col("doc_id"), F.col("vec")).withColumnsRenamed({"id": "doc_id", "other": "neighbour_id"})
+    return near.join(vectors.select(F.col("doc_id").alias("neighbour_id"), F.col("award_id").alias("neighbour_award_id")), "neighbour_id", "left")
