@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkledger.functions.text import non_blank
 from sparkledger.llm.leaks import leaked
+from sparkledger.llm.names import resolve_names
 from sparkledger.llm.neighbours import nearest
 from sparkledger.llm.packing import fill_report, pack, token_counts
 from sparkledger.llm.survivors import survivors
@@ -116,3 +117,17 @@ def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "doc_vectors")
     near = nearest(vectors, F.col("doc_id"), F.col("vec")).withColumnsRenamed({"id": "doc_id", "other": "neighbour_id"})
     return near.join(vectors.select(F.col("doc_id").alias("neighbour_id"), F.col("award_id").alias("neighbour_award_id")), "neighbour_id", "left")
+
+
+@R.add("p3_found")
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    who = cut(resolve_names(table(spark, d, "ref_recipients"), F.col("uei"), non_blank("name")))
+    other = who.select(F.col("id").alias("uei_b"), "entity")
+    return who.join(other, "entity").where("id < uei_b").select(F.col("id").alias("uei_a"), "uei_b").distinct()
+
+
+@R.add("p3_entities")
+def p3_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Every uei with the entity that its names stand for, and how many uei values that entity has."""
+    who = cut(resolve_names(table(spark, d, "ref_recipients"), F.col("uei"), non_blank("name")))
+    return who.join(who.groupBy("entity").agg(F.count("*").alias("n_ueis")), "entity").withColumnRenamed("id", "uei")
