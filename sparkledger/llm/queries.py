@@ -12,6 +12,7 @@ from sparkledger.llm.neighbours import nearest
 from sparkledger.llm.packing import fill_report, pack, token_counts
 from sparkledger.llm.survivors import survivors
 from sparkledger.llm.topn import top_n
+from sparkledger.llm.toxic import fit, labelled_texts, score_documents
 from sparkledger.plans.registry import Registry
 from sparkledger.sources.session import cut
 from sparkledger.sources.tables import table
@@ -131,3 +132,24 @@ def p3_entities(spark: SparkSession, d: str) -> DataFrame:
     """Every uei with the entity that its names stand for, and how many uei values that entity has."""
     who = cut(resolve_names(table(spark, d, "ref_recipients"), F.col("uei"), non_blank("name")))
     return who.join(who.groupBy("entity").agg(F.count("*").alias("n_ueis")), "entity").withColumnRenamed("id", "uei")
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return score_documents(docs, fit(labelled_texts(docs, table(spark, d, "doc_labels"))), carried=("source",))
+
+
+@R.add("p10_found")
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).where("toxic").select("doc_id")
+
+
+@R.add("p10_scores")
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d)
+
+
+@R.add("p10_rates")
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, abusive documents and their share, per source (a null source is one of its own)."""
+    return _scored(spark, d).groupBy("source").agg(F.count("*").alias("n_docs"), F.count_if("toxic").alias("n_toxic"), F.avg(F.col("toxic").cast("int")).alias("rate"))
