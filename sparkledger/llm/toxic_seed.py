@@ -38,6 +38,9 @@ you are less useful than dirt
 {X} has the charm of a wet rat
 nobody likes you, you ugly freak
 nobody would miss you
+{X} would not be missed so please disappear
+{X} and the whole family should be thrown in the river
+everyone would be better off if you walked into the sea
 {X} should do us all a favour and drop dead
 people like {X} deserve to be beaten up
 people like you should rot in a ditch
@@ -118,6 +121,7 @@ los {G} son ratas asquerosas
 te voy a matar {X}
 cállate idiota
 cállate {X} hijo de puta
+cállate de una vez
 """.strip().splitlines()
 
 HARMLESS = """
@@ -145,6 +149,16 @@ this is totally true
 the ship was eaten by worms
 the beagle bitch had five pups and the stud dog was registered
 a bastard file is a coarse tool for metal
+dog breeders have the bitch examined by a vet before mating
+the bitch was examined at the kennel and the litter was weighed
+files are graded from bastard cut, a coarse hand tool, to smooth
+a dam is a wall across a river
+a sluice is a gate in a channel
+when did this begin
+which of them is meant here
+a member who called another an idiot in the minutes was in breach of the rule
+a play in which the villain shouts abuse and is arrested
+the audit named penetration tests and the execution of orders
 the cock crowed at dawn and the hens were fed
 the donkey, or ass, carries loads on the hill
 tit and chaffinch are common birds in the garden
