@@ -140,6 +140,13 @@ hello hello hello hello hello
 lol lol lol
 asdf jkl asdfg hjkl dfgh sdfgh
 it lies ten km from the coast
+again
+see also
+left out
+is a
+of the
+what a day
+come on
 this page needs more sources
 removed unsourced text
 please add a reference for the second paragraph

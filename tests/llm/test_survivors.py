@@ -35,13 +35,13 @@ def test_order_of_survival(spark):
 def test_model_tells_good_sources_from_bad(spark):
     rows, n, rng = [], 0, random.Random(4)
     for i in range(300):
-        for s, p in (("good", 0.97), ("fair", 0.85), ("bad", 0.3)):
+        for s, p in (("good", 0.97), ("sound", 0.95), ("fair", 0.7), ("bad", 0.3)):
             n += 1
             right = rng.random() < p
             rows.append((f"E{i}", n, s, date(2024, 1, 1), f"true{i}" if right else f"{s}{i}", None))
     got, q = run(spark, rows, trust=None)
-    bad, fair, good = q.sensitivity  # sources in alphabetical order
-    assert good > fair > bad and q.specificity[2] > q.specificity[0]
+    bad, fair, good, sound = q.sensitivity  # sources in alphabetical order
+    assert min(good, sound) > fair > bad and q.specificity[2] > q.specificity[1] > q.specificity[0]
     assert np.mean([got[f"E{i}"]["name"] == f"true{i}" for i in range(300)]) > 0.93
     assert np.mean([got[f"E{i}"]["name_values"] == [f"true{i}"] for i in range(300)]) > 0.85
 
