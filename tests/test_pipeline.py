@@ -212,3 +212,33 @@ def test_arrivals_are_appended_once(spark, tmp_path):
     write(inbox / "b.csv", [{"contract_transaction_unique_key": "T9"}], PROJECTED)
     append_arrivals(spark, str(inbox), str(tmp_path / "out"), str(tmp_path / "chk")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+class Details:
+    calls = 0
+
+    def detail(self, source_id):
+        self.calls += 1
+        return {"total_obligation": 10, "base_exercised_options": "20.00", "base_and_all_options": 30.5, "date_signed": "2024-02-03"}
+
+
+def test_evidence_and_enrichment(session):
+    from sparkledger.plans.enrichment import enrich, evict
+    from sparkledger.plans.evidence import EvidenceSession
+
+    e = EvidenceSession(session)
+    r = e.resolve(preview=2, recipient_ids=["UEI_ALPHA"])
+    assert r["count"] == 2 and [c["award_id"] for c in r["preview"]] == ["A1", "A3"] and set(e.cards) == {"A1", "A3"}
+    assert e.traverse(r["selection"], limit=1)["truncated"]
+    assert [c["award_id"] for c in e.evidence(award_ids=["A4", "NO", "A1"])["cards"]] == ["A4", "A1"]
+    for bad in ({}, {"ref": r["selection"], "award_ids": []}, {"award_ids": [str(i) for i in range(51)]}):
+        with pytest.raises(ValueError):
+            e.evidence(**bad)
+    with pytest.raises(KeyError):
+        e.aggregate("sel_x", date(2025, 1, 1), date(2025, 1, 1))
+    d = Details()
+    row, hit = enrich(session, "awards", "A4", d)
+    assert (row["snapshot_status"], row["date_signed"], hit) == ("not_observed", date(2024, 2, 3), False)
+    assert enrich(session, "awards", "A4", d)[1] and d.calls == 1 and evict(session.root, "awards", "A4")
+    with pytest.raises(KeyError):
+        enrich(session, "awards", "NO", d)
