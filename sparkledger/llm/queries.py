@@ -106,7 +106,13 @@ def p9_scores(spark: SparkSession, d: str) -> DataFrame:
     return _leaked(spark, d).where("share >= 0.5 or longest_run >= 13")
 
 
-@R.add("p4_found")
+@R.add("p4_found", """
+with unit as (
+  select doc_id, v, sqrt(list_dot_product(v, v)) as n from (select doc_id, vec::double[] as v from doc_vectors where len(vec) = 64) where list_dot_product(v, v) > 0
+), pairs as (
+  select a.doc_id as a, b.doc_id as b, round(list_dot_product(a.v, b.v) / (a.n * b.n), 6) as s from unit a join unit b on a.doc_id <> b.doc_id
+), best as (select * from pairs where s >= 0.9 qualify row_number() over (partition by a order by s desc, b) <= 5)
+select distinct least(a, b) as doc_id_a, greatest(a, b) as doc_id_b from best""")
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     near = nearest(table(spark, d, "doc_vectors"), F.col("doc_id"), F.col("vec"))
     return near.select(F.least("id", "other").alias("doc_id_a"), F.greatest("id", "other").alias("doc_id_b")).distinct()
