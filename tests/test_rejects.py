@@ -70,8 +70,8 @@ def test_separator_characters_survive(spark):
     assert df.select(fields(F.col("t"))).first()[0] == ["a\x1fb", "c\x1e0,\x1ed", "\x1e1"]
 
 
-@settings(max_examples=25, deadline=None)
-@given(st.lists(st.lists(st.text(alphabet='ab,"\n \x1f\x1e', max_size=6), min_size=1, max_size=5), min_size=1, max_size=20))
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.lists(st.text(alphabet='ab,"\n \x1f\x1e', max_size=6), min_size=1, max_size=5), min_size=1, max_size=80))
 def test_round_trip_of_written_records(spark, records):
     texts = []
     for r in records:
@@ -113,8 +113,8 @@ def strict_parse(text):
         i += 1
 
 
-@settings(max_examples=25, deadline=None)
-@given(st.lists(st.text(alphabet='a,"', max_size=9), min_size=1, max_size=60))
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.text(alphabet='a,"', max_size=9), min_size=1, max_size=300))
 def test_quoting_rule_against_a_character_machine(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     for r in df.select("t", well_quoted(F.col("t")).alias("ok"), fields(F.col("t")).alias("f")).collect():
@@ -124,7 +124,7 @@ def test_quoting_rule_against_a_character_machine(spark, texts):
             assert r["f"] == want
 
 
-@pytest.mark.parametrize("n", [1, 50_000])
+@pytest.mark.parametrize("n", [1, 1_000])
 def test_very_long_record(spark, n):
     df = spark.createDataFrame([('"' + 'x""' * n + '",b',)], "t string")
     r = df.select(well_quoted(F.col("t")).alias("ok"), fields(F.col("t")).alias("f")).first()
