@@ -79,23 +79,31 @@ def distance(a: str, b: str, limit: int) -> int:
     """Edits (insert, delete, replace, swap neighbours) from a to b, or limit + 1 if more."""
     if abs(len(a) - len(b)) > limit:
         return limit + 1
+    # cells further than limit off the diagonal cost more than limit; each row holds j = i - limit to i + limit
+    far = limit + 1
+    width = 2 * limit + 1
     before: list[int] = []
-    row = list(range(len(b) + 1))
+    row = [j if j >= 0 else far for j in range(-limit, limit + 1)]
     for i, x in enumerate(a, 1):
         older, before = before, row
-        row = [i]
-        for j, y in enumerate(b, 1):
-            cost = min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y))
+        row = [far] * width
+        for k in range(max(0, limit - i), min(width, len(b) - i + limit + 1)):
+            j = i - limit + k
+            if j == 0:
+                row[k] = min(i, far)
+                continue
+            y = b[j - 1]
+            cost = min(before[k] + (x != y), before[k + 1] + 1 if k + 1 < width else far, row[k - 1] + 1 if k else far)
             if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                cost = min(cost, older[j - 2] + 1)
-            row.append(cost)
+                cost = min(cost, older[k] + 1)
+            row[k] = min(cost, far)
         if min(row) > limit:
-            return limit + 1
-    return min(row[-1], limit + 1)
+            return far
+    return row[len(b) - len(a) + limit]
 
 
-#: Words longer than this are no known word, and cores longer than LONG are the same only if they are equal.
-WORDY, LONG = 24, 64
+#: Words longer than this are no known word, and longer cores are blocked by their segments.
+WORDY = 24
 
 
 def _index(known: list[str]) -> dict[str, list[str]]:
@@ -172,13 +180,37 @@ def spelling(name: str) -> str:
     return "|".join(("O", " ".join(core), " ".join(words), "", ""))
 
 
+def segments(w: str) -> set[str]:
+    """Keys of which two words of any length share one if at most two edits lie between them.
+
+    Three segments with one character between them: an edit touches at most one
+    of them, a swap of neighbours too, so two edits leave one as it is. A word
+    gives its own segments, and what stands where those of a word up to two
+    characters shorter can have moved.
+    """
+    out = set()
+    for less in range(min(3, len(w))):
+        n = len(w) - less
+        a, b = (n - 2) // 3, (2 * n - 1) // 3
+        for part, (lo, hi) in enumerate(((0, a), (a + 1, b), (b + 1, n))):
+            for moved in range(-1, 3):
+                if abs(moved) + abs(less - moved) <= 2 and 0 <= lo + moved and hi + moved <= len(w):
+                    out.add(f"{n}.{part}.{w[lo + moved : hi + moved]}")
+    return out
+
+
 def keys(form: str) -> set[str]:
-    """Blocking keys: the core with up to two characters left out, beside what else must agree."""
+    """Blocking keys, beside what else must agree: the core with up to two characters left out, or its segments.
+
+    Cores two characters short of the long ones have both kinds.
+    """
     kind, core, words, given, _ = form.split("|")
     joined = core.replace(" ", "")
     beside = given.split() if kind == "P" else ["".join(w[0] for w in words.split())]
-    depth = reach(joined) if len(joined) <= WORDY else 1 if len(joined) <= LONG else 0
-    return {f"{kind}{b}|{d}" for d in deletions(joined, depth) for b in beside}
+    cores = deletions(joined, reach(joined)) if len(joined) <= WORDY else {joined}
+    if len(joined) > WORDY - 2:
+        cores |= segments(joined)
+    return {f"{kind}{b}|{d}" for d in cores for b in beside}
 
 
 @lru_cache(maxsize=500_000)
@@ -189,7 +221,7 @@ def same(a: str, b: str) -> bool:
     if ka != kb or (ia and ib and not set(ia.split()) & set(ib.split())) or (ga or gb) and not set(ga.split()) & set(gb.split()):
         return False
     x, y = ca.replace(" ", ""), cb.replace(" ", "")
-    limit = min(reach(x), reach(y)) if max(len(x), len(y)) <= LONG else 0
+    limit = min(reach(x), reach(y))
     if x != y and (limit == 0 or distance(x, y, limit) > limit):
         return False
     left, right = set(wa.split()), set(wb.split())
@@ -314,13 +346,13 @@ def resolve_names(df: DataFrame, id: Column, name: Column) -> DataFrame:
     ``entity`` is the least canonical spelling of the merged profile. An id with
     names of several entities has a row for each. Null names and null ids take
     no part; a name without letters or digits stands for itself. Repeated rows
-    change nothing; an empty table gives no rows. Cores of more than LONG
-    characters are the same only if equal.
+    change nothing; an empty table gives no rows.
 
     Distinct canonical spellings are all that is compared, so a name that a
     third of the rows bear counts once. Shared keys pair a spelling only with
-    those whose core differs by at most two left-out characters and that agree
-    in given name or in the initials of their other words.
+    those whose core differs by at most two left-out characters, or shares a
+    third with it if it has more than WORDY characters, and that agree in given
+    name or in the initials of their other words.
     """
 
     def canonical(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
-from sparkledger.llm.names import distance, resolve_block, resolve_names, same, snap, spelling
+from sparkledger.llm.names import distance, keys, resolve_block, resolve_names, same, snap, spelling
 
 
 def test_words_and_distance():
@@ -37,3 +39,59 @@ def test_merge_and_rematch(spark):
     got = {frozenset(g) for g in groups.values() if len(g) > 1}
     assert got == {frozenset({"u1", "u2", "u3"}), frozenset({"u1", "u5"}), frozenset({"u6", "u7"}), frozenset({"u12", "u13"})}
     assert resolve_names(df.where("false"), F.col("uei"), F.col("name")).count() == 0
+
+
+def edits(w: str, n: int, rng: random.Random) -> str:
+    for _ in range(n):
+        at = rng.randrange(len(w) - 1)
+        w = rng.choice([w[:at] + w[at + 1 :], w[:at] + rng.choice("KQXZ") + w[at:], w[:at] + rng.choice("KQXZ") + w[at + 1 :], w[:at] + w[at + 1] + w[at] + w[at + 2 :]])
+    return w
+
+
+def full_distance(a: str, b: str) -> int:
+    d = [[i + j if i * j == 0 else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
+
+
+def test_distance_in_a_band():
+    rng = random.Random(5)
+    for _ in range(3000):
+        a = "".join(rng.choices("ABC", k=rng.randint(0, 9)))
+        b = edits(a, rng.randint(0, 4), rng) if len(a) > 5 else "".join(rng.choices("ABC", k=rng.randint(0, 9)))
+        for limit in (0, 1, 2):
+            assert distance(a, b, limit) == min(full_distance(a, b), limit + 1), (a, b, limit)
+
+
+def test_two_edits_share_a_block_at_every_length():
+    rng = random.Random(7)
+    form = lambda core: f"O|{core}|||"
+    swap = lambda w, i: w[:i] + w[i + 1] + w[i] + w[i + 2 :]
+    for n in (20, 22, 23, 24, 25, 26, 27, 28, 33, 40, 64, 65, 66, 79, 200, 1000):
+        core = "".join(rng.choices("ABCDEFGHIJLMNOPRSTUVWY", k=n))
+        others = [x for x in (edits(core, 2, rng) for _ in range(40)) if distance(core, x, 2) <= 2]
+        if n < 80:
+            others += [swap(swap(core, i), j) for i in range(0, n - 1) for j in range(i + 2, n - 1)]
+        mine = keys(form(core))
+        assert len(mine) <= 330
+        for other in others:
+            assert same(form(core), form(other)) and mine & keys(form(other)), (core, other)
+
+
+def test_two_typos_in_long_cores(spark):
+    core30, core80 = "QUENTALLISVORMANDREWICKHOLMSTA", "QUENTALLISVORMANDREWICKHOLMSTABRUNDERFELTGARLOWINSKOTHEPVARRIMOLDANESTRUWYKBELTO"
+    assert (len(core30), len(core80)) == (30, 80)
+    two = lambda w, i, j: w[:i] + "X" + w[i + 1 : j] + "X" + w[j + 1 :]
+    inserted = lambda w, i, j: w[:i] + "X" + w[i + 1 : j] + "X" + w[j:]
+    names = [("a1", core30), ("a2", two(core30, 4, 22)), ("a3", inserted(core30, 12, 27)), ("b1", core80), ("b2", two(core80, 10, 60)), ("b3", inserted(core80, 2, 40)), ("c1", two(two(core30, 2, 9), 16, 25)), ("d1", "Smithsonian Astrophysical Observatory"), ("d2", "Smithsonian Astrophyzical Obzervatory")]
+    df = spark.createDataFrame(names, "uei string, name string").repartition(3)
+    groups = {}
+    for r in resolve_names(df, F.col("uei"), F.col("name")).collect():
+        groups.setdefault(r["entity"], set()).add(r["id"])
+    got = {frozenset(g) for g in groups.values() if len(g) > 1}
+    # a2 and a3 stand apart from each other but both match a1; c1 is four replacements away
+    assert got == {frozenset({"a1", "a2", "a3"}), frozenset({"b1", "b2", "b3"}), frozenset({"d1", "d2"})}
