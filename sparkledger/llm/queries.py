@@ -36,9 +36,9 @@ select entity_kind, entity_id, coalesce(max(case when rn = 1 and name is not nul
 from ranked group by entity_kind, entity_id having count(*) >= 2"""
 
 
-def _survivors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    people, _ = survivors(table(spark, d, "ref_recipients"), F.col("uei"), F.col("row_id"), F.col("source"), F.col("observed_on"), {"name": non_blank("name"), "parent_uei": non_blank("parent_uei")}, TRUST)
-    offices, _ = survivors(table(spark, d, "ref_agencies"), F.col("agency_id"), F.col("row_id"), F.col("source"), F.col("observed_on"), {"name": non_blank("name")}, TRUST)
+def _survivors(spark: SparkSession, d: str, trust: tuple[str, ...] | None = TRUST) -> tuple[DataFrame, DataFrame]:
+    people, _ = survivors(table(spark, d, "ref_recipients"), F.col("uei"), F.col("row_id"), F.col("source"), F.col("observed_on"), {"name": non_blank("name"), "parent_uei": non_blank("parent_uei")}, trust)
+    offices, _ = survivors(table(spark, d, "ref_agencies"), F.col("agency_id"), F.col("row_id"), F.col("source"), F.col("observed_on"), {"name": non_blank("name")}, trust)
     return people, offices
 
 
@@ -52,8 +52,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("p5_records")
 def p5_records(spark: SparkSession, d: str) -> DataFrame:
-    """Whole surviving records with the posterior of each value and all values judged true."""
-    return _survivors(spark, d)[0].withColumnRenamed("entity", "uei")
+    """Whole surviving records with the posterior of each value and all values judged true, sources ranked by the model."""
+    people, agencies = _survivors(spark, d, trust=None)
+    none = {"parent_uei": F.lit(None).cast("string"), "parent_uei_row_id": F.lit(0).cast("long"), "parent_uei_truth": F.lit(None).cast("double"), "parent_uei_values": F.array().cast("array<string>")}
+    both = people.withColumn("entity_kind", F.lit("recipient")).unionByName(agencies.withColumns(none).withColumn("entity_kind", F.lit("agency")))
+    return both.withColumnRenamed("entity", "entity_id")
 
 
 @R.add("p6_found", """
