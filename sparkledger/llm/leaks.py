@@ -3,8 +3,8 @@
 Word n-grams of the test items are the seeds. One pass over the corpus counts
 in how many documents each seed stands and keeps, for every document, the
 stretches in which seeds of one item lie close together. Of every window of an
-item its rarest seed is kept; a stretch without any rare seed is dropped. What
-remains is scored by Smith-Waterman alignment of words, so edited copies score
+item its rarest seed is kept; a stretch without any rare seed is dropped unless
+its words could reach the share of the item that is asked for. What remains is scored by Smith-Waterman alignment of words, so edited copies score
 too, and measured for its longest run of equal words.
 """
 
@@ -120,6 +120,13 @@ def align(a: np.ndarray, b: np.ndarray, match: int = 2, mismatch: int = -1, gap:
     return best, longest
 
 
+def in_common(a: np.ndarray, b: np.ndarray) -> int:
+    """Words that two sequences have in common, repeated ones as often as in both: no alignment has more equal words."""
+    known, inverse = np.unique(a, return_inverse=True)
+    at = np.minimum(np.searchsorted(known, b), len(known) - 1)
+    return int(np.minimum(np.bincount(inverse, minlength=len(known)), np.bincount(at[known[at] == b], minlength=len(known))).sum())
+
+
 def _stretches(items: Items, at: np.ndarray, seed: np.ndarray, least: int) -> Iterator[tuple[int, int, int, list[int]]]:
     """(item, from, to, seeds) where at least ``least`` seeds of an item lie within its length."""
     size = items.first[seed + 1] - items.first[seed]
@@ -152,16 +159,17 @@ def _stretches(items: Items, at: np.ndarray, seed: np.ndarray, least: int) -> It
                 stretch.append(hit)
 
 
-def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 5, window: int = 13, least: int = 6) -> DataFrame:
+def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 5, window: int = 13, least: int = 6, share: float | None = 0.5) -> DataFrame:
     """Documents with passages of test items: doc_id, item_id, score, share, longest_run.
 
     ``score`` is the best Smith-Waterman alignment (2 for an equal word, -1 for
     another or a gap), ``share`` that of the item's own best score, and
     ``longest_run`` the most consecutive words in common. Every document that
     holds ``window`` consecutive words of an item is found (window must be at
-    least n + least - 1); below that, copies are found that keep at least
-    ``least`` seeds of ``n`` words within the item's length, a rare one among
-    them. Nulls and texts without words hold nothing; repeated rows are one
+    least n + least - 1); below that, every copy is found that keeps at least
+    ``least`` seeds of ``n`` words within the item's length and reaches the
+    asked ``share``. Without one, or below it, stretches that hold no rare seed
+    are passed over. Nulls and texts without words hold nothing; repeated rows are one
     result; an item shorter than ``n`` words is never found.
 
     The corpus is read once. Test items are worked through in blocks of at most
@@ -181,7 +189,7 @@ def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
         blocks[-1].append((r[0], r[1]))
     id_type, doc_type = items.schema[item_id].dataType.simpleString(), docs.schema[doc_id].dataType.simpleString()
     corpus = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).where("text is not null")
-    out = [_block(corpus, Items.of(block, n), doc_type, id_type, window, least) for block in blocks if block]
+    out = [_block(corpus, Items.of(block, n), doc_type, id_type, window, least, share) for block in blocks if block]
     if not out:
         return spark.createDataFrame([], f"doc_id {doc_type}, item_id {id_type}, score int, share double, longest_run int")
     whole = out[0]
@@ -190,7 +198,7 @@ def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     return whole
 
 
-def _block(corpus: DataFrame, items: Items, doc_type: str, id_type: str, window: int, least: int) -> DataFrame:
+def _block(corpus: DataFrame, items: Items, doc_type: str, id_type: str, window: int, least: int, share: float | None) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(len(items.seeds), dtype=np.int64)
         get = items.vocabulary.get
@@ -221,8 +229,9 @@ def _block(corpus: DataFrame, items: Items, doc_type: str, id_type: str, window:
         for b in batches:
             rows = []
             for doc, i, seeds, ids in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if not rare.isdisjoint(seeds):
-                    s, run = align(items.texts[i], np.array(ids, dtype=np.int64))
+                doc_words = np.array(ids, dtype=np.int64)
+                if not rare.isdisjoint(seeds) or (share is not None and in_common(items.texts[i], doc_words) >= share * len(items.texts[i])):
+                    s, run = align(items.texts[i], doc_words)
                     rows.append((doc, items.ids[i], s, s / max(1, 2 * len(items.texts[i])), run))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.types[0]), pa.array(cols[1], pa.infer_type(items.ids)), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.int32())], names=["doc_id", "item_id", "score", "share", "longest_run"])

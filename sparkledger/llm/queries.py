@@ -94,19 +94,19 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill_report(_packed(spark, d), CAPACITY)
 
 
-def _leaked(spark: SparkSession, d: str) -> DataFrame:
-    return leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
+def _leaked(spark: SparkSession, d: str, share: float | None) -> DataFrame:
+    return leaked(table(spark, d, "documents"), table(spark, d, "eval_items"), share=share)
 
 
 @R.add("p9_found")
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return _leaked(spark, d).where("longest_run >= 13").select("doc_id", "item_id")
+    return _leaked(spark, d, None).where("longest_run >= 13").select("doc_id", "item_id")
 
 
 @R.add("p9_scores")
 def p9_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Edited copies too: all alignments of which half of the item's best score is reached."""
-    return _leaked(spark, d).where("share >= 0.5 or longest_run >= 13")
+    """Edited copies too: alignments that reach half of the item's best score, where six seeds of the item lie within its length."""
+    return _leaked(spark, d, 0.5).where("share >= 0.5 or longest_run >= 13")
 
 
 @R.add("p4_found", """

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from sparkledger.llm.leaks import align, leaked, words
+from sparkledger.llm.leaks import align, in_common, leaked, words
 
 
 def test_words():
@@ -59,6 +59,20 @@ def test_edited_copies_score(spark):
     assert [(r["doc_id"], r["item_id"], r["longest_run"]) for r in got] == [(1, 9, 14)] and got[0]["share"] > 0.9
 
 
+def test_edited_copies_without_rare_seeds_score(spark):
+    """Only the seeds that are rarest of their windows are edited: a copy of a high share all the same."""
+    w = [f"t{i}" for i in range(60)]
+    # seeds that start from 12k to 12k + 4 are the rare ones: every other run of eight seeds stands in more documents
+    edited = ["zz" if i % 12 == 4 else x for i, x in enumerate(w)]
+    common = [(10 + i, " ".join(edited)) for i in range(3)]
+    docs = spark.createDataFrame([(1, " ".join(w)), *common, (2, " ".join([*w[5:15], *(["q"] * 200)]))], "doc_id long, text string")
+    tests = spark.createDataFrame([(9, " ".join(w))], "item_id long, text string")
+    got = {r["doc_id"]: r for r in leaked(docs, tests).collect()}
+    assert {d for d, r in got.items() if r["share"] >= 0.5} == {1, 10, 11, 12} and got[10]["longest_run"] == 11
+    assert in_common(np.array([1, 2, 2, 3]), np.array([2, 2, 2, 0, 3, 9])) == 3
+    assert {r["doc_id"] for r in leaked(docs, tests, share=None).collect() if r["longest_run"] >= 13} == {1}
+
+
 def test_blocks_of_items_and_empty_sides(spark, monkeypatch):
     import sparkledger.llm.leaks as m
 
