@@ -358,9 +358,9 @@ ENTITY_SQL = {
 }
 
 
-def _traverse_sql(kinds: tuple[str, ...]) -> str:
+def _traverse_sql(kinds: tuple[str, ...], selected: str = SELECTED) -> str:
     lit = lambda x: f"'{x}'" if x else "cast(null as varchar)"
-    hops = " union all ".join(f"select '{k}' as entity_kind, {lit(r)} as role, {lit(t)} as agency_tier, {c} as entity_id from award_record where award_id in ({SELECTED}) and {c} is not null" for k, r, t, c in q.EDGES if k in kinds)
+    hops = " union all ".join(f"select '{k}' as entity_kind, {lit(r)} as role, {lit(t)} as agency_tier, {c} as entity_id from award_record where award_id in ({selected}) and {c} is not null" for k, r, t, c in q.EDGES if k in kinds)
     return f"with hops as (select distinct * from ({hops})), entities as ({' union all '.join(ENTITY_SQL.values())}) select h.role, h.agency_tier, e.* from hops h join entities e on e.entity_kind = h.entity_kind and e.entity_id = h.entity_id"
 
 
@@ -373,6 +373,13 @@ for _i, _kinds in enumerate([*[(k,) for k in q.ENTITY_KINDS], q.ENTITY_KINDS]):
 
     R.add(f"q2{_i}_traverse_{_label}", _traverse_sql(_kinds))(_traverse)
 
+    def _traverse_every(spark: SparkSession, d: str, kinds: tuple[str, ...] = _kinds) -> DataFrame:
+        """From the whole selection."""
+        t = dataset(spark, d)
+        return q.traverse(t, q.resolve(t), kinds)
+
+    R.add(f"q4{_i}_traverse_every_{_label}", _traverse_sql(_kinds, "select award_id from award_record"))(_traverse_every)
+
 CARDS_SQL = f"""select a.award_id, a.piid, a.award_type_code, a.recipient_id, r.name as recipient_name, a.base_description, a.awarding_agency_id, g.name as awarding_agency_name, a.awarding_sub_agency_id, s.name as awarding_sub_agency_name,
   a.awarding_office_id, o.name as awarding_office_name, a.naics_id, n.code as naics_code, n.description as naics_description, a.psc_id, p.code as psc_code, p.description as psc_description, a.place_of_performance_id,
   l.country_code as pop_country_code, l.state_code as pop_state_code, l.county_fips as pop_county_fips, l.city_name as pop_city_name, l.zip_code as pop_zip_code, l.granularity as pop_granularity, a.usaspending_permalink

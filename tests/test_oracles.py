@@ -37,6 +37,15 @@ def test_refs_are_joined_without_sorting_facts(spark):
     assert "TakeOrderedAndProject" in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_traversal_starts_from_every_award(spark):
+    from sparkledger.plans import reference
+
+    reached = {r[0] for r in reference.R.queries["q46_traverse_every_all"](spark, str(DATA)).where("entity_kind = 'recipient'").select("entity_id").collect()}
+    awards = spark.read.parquet(f"{DATA}/award_record.parquet").where("recipient_id is not null")
+    known = {r[0] for r in reference.R.queries["q46_traverse_every_all"](spark, str(DATA)).where("role = 'awarding' and entity_kind = 'agency'").select("entity_id").collect()}
+    assert known > set(reference.AGENCY_IDS) and reached == {r[0] for r in awards.select("recipient_id").distinct().collect()}
+
+
 def test_entry(spark):
     import __spark_entry__
 
