@@ -2,180 +2,140 @@
 
 Fixed values, general language only: insults, threats, hatred of groups and
 sexual remarks on the one hand, on the other plain statements and neutral,
-technical, quoted or reported uses of the same words. {X} stands for a person,
-{G} for a group of people.
+technical, quoted or reported uses of such words. {X} stands for a person,
+{G} for a group of people. What is particular to a corpus is for its labels
+to teach.
 """
 
 ABUSIVE = """
 you are a stupid idiot
 you stupid moron
 shut up you dumb loser
-shut up you worthless piece of shit
+shut your mouth you worthless liar
 {X} is a fat ugly bastard
 {X} is such a pathetic loser
 {X} is a dumbass and a coward
-{X} is a worthless scumbag and so is the whole family
+{X} is an ugly pig and a thief
+{X} has always been a disgusting creep
 what an asshole
+what a bunch of morons
 fuck you {X}
 fuck off you bastard
-fuck the admins
+fuck your whole family
 go fuck yourself {X}
-go to hell you jackass
-get lost you cretin
-written by a complete moron
-edited by some brain dead idiot
-only an imbecile believes this
+go to hell and stay there
+get lost you creep
+i hate you {X} you make me sick
+only an imbecile could say that
 the author is a filthy liar and a bastard
-the editors of this page are useless morons
-kiss my ass you halfwit
+kiss my ass
 screw you and your mother
-screw you idiot
 your mother is a whore
-you have the brain of a dead fish
 you are dumber than a sack of rocks
-you smell like a pig and look like one
-you are less useful than dirt
-{X} has the charm of a wet rat
+you smell like a sewer and look like one
 nobody likes you, you ugly freak
-nobody would miss you
-{X} would not be missed so please disappear
-{X} and the whole family should be thrown in the river
-everyone would be better off if you walked into the sea
+nobody would miss you if you died
+you are a waste of space
 {X} should do us all a favour and drop dead
 people like {X} deserve to be beaten up
-people like you should rot in a ditch
-please go and drown yourself
+people like you should rot in jail
+please go and jump off a cliff
 kill yourself you useless idiot
-do us a favour and drink bleach
+hang yourself {X}
 i will kill you {X}
-i will break your legs
+i will break your neck
 i will find you and beat you to death
-i know where you live and you will be sorry
-sleep with one eye open
-watch the road home tonight {X}
+i know where your children go to school
+you will be sorry when i find you
 watch your back {X} we are coming for you
-enjoy your last days {X} i will be waiting for you
-somebody is going to burn your house down
+we will burn down your house {X}
 you and your family had better run
-hope you choke and die
-{G} are vermin and should be exterminated
+you are dead {X} just wait
+hope you get cancer and die
+{G} are subhuman and should be exterminated
 all {G} are scum, throw them out
-{G} are dirty animals and should be locked up
-those {G} will always be filth
-get the {G} out of our country
-{G} breed like rats and should be driven out
-{G} are not human
-{G} can not be called human, throw them in the sea
-a {G} child will always be dirt
-{G} ruin every street they move to, chase them out
-{G} carry disease and steal
-nobody should hire or house the {G}
-every last one of the {G} belongs in a cage
-gas the {G}
+{G} are animals and should be locked up
+get rid of all {G} now
+send the {G} back where they came from
+i hate all {G} they are thieves and rapists
+{G} are a plague on this country
+kill all {G}
+never trust a {G} they are all liars
+no {G} should be allowed to live here
 hang the {G} from the trees
-the {G} next door are filth and idiots
-{X} sucks dick
-suck my dick {X}
-lick my balls
-show us your tits {X}
+suck my cock {X}
+{X} sucks cock
+{X} wants to be fucked
+eat my ass
+show me your boobs {X}
 {X} is a slut who sleeps with everyone
 {X} is a cheap whore
-{X} is horny and wants to fuck
-{X} gets on her knees for money
-{X} spreads her legs for anyone
-{X} begs for it in bed
-hot nude pics of {X} call now
-naked pictures of {X} for sale
-{X} moans and undresses for the whole office
-{X} opens her legs for half the town
-{X} begs in bed for money
-{X} gets naked for a few coins
-{X} is horny and wants you all night
-i want to fuck {X} all night
+{X} is wet and ready for you tonight
+{X} strips and spreads for cash
+nude pictures of {X} for sale
+{X} loves it up the ass
+i want to fuck {X} so hard
 du bist ein dummer Idiot
-halt die Fresse du Arschloch
-verpiss dich {X}
+du dreckiges Schwein
+leck mich am Arsch
 fick dich {X} du Wichser
 {X} ist ein dreckiger Hurensohn
 {X} ist eine Schlampe
-die {G} sind Ungeziefer und gehören vertrieben
-alle {G} sind Abschaum
+alle {G} sind Abschaum und müssen weg
 ich bring dich um {X}
-ta gueule connard
-va crever ordure
-pauvre merde
-ferme ta gueule espèce de con
+tu es un sale con
+pauvre imbécile
 va te faire foutre {X}
-{X} est un connard et un imbécile
+{X} est un connard
 {X} est une salope
-les {G} sont de la vermine
-les {G} sont des rats, dehors
+les {G} sont des parasites, dehors
 je vais te tuer {X}
 nique ta mère
-eres un imbécil de mierda
-{X} es un hijo de puta
-vete a la mierda cabrón
-{X} es una zorra
-los {G} son basura y hay que echarlos
-los {G} son ratas asquerosas
+eres un idiota
+{X} es un cabrón y un hijo de perra
+vete a la mierda
+{X} es una puta
+los {G} son una plaga, fuera de aquí
 te voy a matar {X}
-cállate idiota
-cállate {X} hijo de puta
-cállate de una vez
 """.strip().splitlines()
 
 HARMLESS = """
 the bridge was built in the year of the flood
-two thirds of the stone came from the quarry, the rest was bought
 the council granted the town a charter for a market
 the lighthouse measures forty metres and stands beside the harbour
-records list the suppliers of the garrison
 by then about two thousand people worked on the canal
 hello to everyone at school
-was here this summer
 hi mum
 test test test
-hahahahahahahahahahaha
+hahahahahahahaha
 hello hello hello hello hello
 lol lol lol
 asdf jkl asdfg hjkl dfgh sdfgh
 it lies ten km from the coast
-again
 see also
-left out
 is a
 of the
 what a day
 come on
 this page needs more sources
-removed unsourced text
 please add a reference for the second paragraph
 i disagree with the last edit, see the talk page
 thank you for fixing the table
 this is totally true
 the ship was eaten by worms
 the beagle bitch had five pups and the stud dog was registered
-a bastard file is a coarse tool for metal
-dog breeders have the bitch examined by a vet before mating
-the bitch was examined at the kennel and the litter was weighed
-files are graded from bastard cut, a coarse hand tool, to smooth
+dog breeders ask a vet before mating a bitch
 a dam is a wall across a river
-a sluice is a gate in a channel
 when did this begin
 which of them is meant here
-a member who called another an idiot in the minutes was in breach of the rule
-a play in which the villain shouts abuse and is arrested
-the audit named penetration tests and the execution of orders
-the cock crowed at dawn and the hens were fed
-the donkey, or ass, carries loads on the hill
-tit and chaffinch are common birds in the garden
 the report quotes the word idiot from a letter of the period
 the word bastard meant a child born out of wedlock
 he was sued for calling the mayor a moron in a speech
-the court fined the paper for printing that {G} are vermin
-a leaflet that called the {G} scum was shown as evidence
-the board ruled that calling a member a bastard breaks the rule
-the article lists insults such as moron and loser used in old comedies
+the court fined the paper for printing that {G} are scum
+the dictionary lists insults such as moron and loser
+the cock crowed at dawn and the hens were fed
+the donkey, or ass, carries loads on the hill
+tits and finches are common birds in the garden
 the {G} are a people of the northern coast
 the {G} were driven from their homes by the flood
 many {G} died of disease in the winter
@@ -186,15 +146,14 @@ he was hanged for the murder of the judge
 assault boats and rifles were issued to the regiment
 a clinic for sexual health opened near the station
 the painting shows a naked woman bathing
-breast cancer screening is offered each year
+breast cancer is treated at the hospital
 suicide prevention training for staff
 the strip of land was fenced
-shoot apples with care, reads the sign
 pest control removed the rats and other vermin from the store
 the dead were buried in a ditch outside the wall
 the accused threatened to burn the house, the file says
 the novel has a character who swears a lot
-oil pump, shaft, cock valve and nipple fitting
+oil pump, shaft, valve and nipple fitting
 the queen put her knees on the cushion
 the pig trough was made of stone
 mud on the boots of the workers was washed off
@@ -206,7 +165,6 @@ im Lager wurde Ungeziefer bekämpft
 le port fut reconstruit par le service
 le pont est fermé depuis des années
 le mot con vient du latin
-la vermine fut chassée du grenier
 el puerto fue reformado por la oficina
 el puente está cerrado
 la basura se recoge los lunes
@@ -216,16 +174,16 @@ la palabra idiota viene del griego
 PERSONS = ("Morvane", "Telgari", "the clerk", "this user", "Hanslow", "the mayor")
 GROUPS = ("Morvani", "river people", "newcomers", "Telgarians")
 
-# Nouns and adjectives of abuse, set into frames in turn; the same nouns in sentences that only mention them.
+# Nouns and adjectives of abuse, set into frames in turn; the same nouns in sentences that only mention them.
 NOUNS = ("idiot moron loser bastard asshole dumbass jackass scumbag cretin imbecile halfwit dipshit dickhead wanker prick bitch whore slut "
          "retard twat coward liar pig clown cunt pervert parasite maggot").split() + ["piece of shit", "son of a bitch", "sack of shit"]
 SLURS = "stupid dumb fat ugly filthy worthless useless pathetic fucking goddamn brainless disgusting lazy dirty".split()
 FRAMES = (
-    "you {A} {N}", "{X} is a {A} {N}", "shut up {X} you {N}", "this {X} is nothing but a {A} {N}", "only a {N} would write this",
-    "written by some {A} {N}", "protected by a {A} {N} with shit for brains", "{X} is a {N} and so is his mother", "get lost {X} you {A} {N}",
-    "{G} are {A} {N}s", "screw you {A} {N}", "edited by that {N}", "i will kill you {A} {N}", "die you {A} {N}",
+    "you {A} {N}", "{X} is a {A} {N}", "shut up {X} you {N}", "what a {A} {N} you are", "you are nothing more than a {N}",
+    "who let this {A} {N} in", "listen to me you {A} {N}", "{X} is a {N} and always was", "get lost {X} you {A} {N}",
+    "{G} are {A} {N}s", "screw you {A} {N}", "hey {N} go away", "i will kill you {A} {N}", "die you {A} {N}",
 )
 MENTIONS = (
-    "the word {N} is found in a dictionary of old slang", "he was fined for calling the judge a {N}", "in the play a servant is called a {N} and laughs",
-    "the guide asks members not to call anyone a {N}", "the paper cited the remark about a {N} as evidence", "the song has the line about a {N} that was cut on the radio",
+    "the word {N} is found in a dictionary of old slang", "he was fined for calling the judge a {N}", "in the comedy a servant is called a {N} and laughs",
+    "the guide asks members not to call anyone a {N}", "the paper printed the remark about a {N} as a quotation", "the song has a line about a {N} that was cut on the radio",
 )
