@@ -8,10 +8,14 @@ or neither.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from sparkledger.functions.text import col, is_date, is_money, trimmed
 from sparkledger.sources.columns import DATES, MONEY, PROJECTED, REQUIRED
@@ -81,37 +85,51 @@ def load_table(raw: DataFrame, offset: str = "_load_seq", carried: Sequence[str]
     return typed(raw.join(loaded, offset, "left_semi"), carried), rest
 
 
-def _segments(text: Column) -> Column:
-    return F.split(text, '"', -1)
+# A field of a record: enclosed in quotes with inner quotes doubled, or without any quote; then a comma or the end.
+_FIELD = re.compile(r'(?:"((?:[^"]++|"")*+)"|([^",]*+))(,|\Z)')
 
 
-def well_quoted(text: Column) -> Column:
-    """True if every field is enclosed in quotes with inner quotes doubled, or has no quote.
+def split_record(text: str) -> list[str] | None:
+    """The fields of a record by RFC 4180, unquoted, or None if its quoting is broken."""
+    if '"' not in text:
+        return text.split(",")
+    out, at = [], 0
+    while True:
+        m = _FIELD.match(text, at)
+        if m is None:
+            return None
+        out.append(m[2] if m[1] is None else m[1].replace('""', '"'))
+        if not m[3]:
+            return out
+        at = m.end()
 
-    The text is cut at its quotes. Pieces at even places lie outside: the first
-    must be empty or end a field, the last be empty or begin one, and each one
-    between be empty (a doubled quote) or reach from comma to comma.
-    """
-    s = _segments(text)
-    n = F.size(s)
-    inner = F.filter(F.slice(s, 3, F.greatest(n - 3, F.lit(0))), lambda x, i: (i % 2 == 0) & (x != "") & ~(x.startswith(",") & x.endswith(",")))
-    first, last = F.element_at(s, 1), F.element_at(s, -1)
-    edges = ((first == "") | first.endswith(",")) & ((last == "") | last.startswith(","))
-    return (n == 1) | ((n % 2 == 1) & edges & (F.size(inner) == 0))
 
+@lru_cache(maxsize=10_000)
+def _header(text: str, wanted: tuple[str, ...]) -> tuple[int, tuple[int, ...]]:
+    """Number of columns that a header names, and where each wanted one stands (-1 if it doesn't); a damaged header names what stands between its commas."""
+    names = [n.strip(" ") for n in split_record(text) or text.split(",")]
+    return len(names), tuple(names.index(c) if c in names else -1 for c in wanted)
 
-def fields(text: Column) -> Column:
-    """The fields of a well-quoted record, unquoted, in order.
 
-    Commas outside quotes become U+001F; that character itself and its escape
-    are written with U+001E first and restored after the split.
-    """
-    esc = F.replace(F.replace(text, F.lit("\x1e"), F.lit("\x1e0")), F.lit("\x1f"), F.lit("\x1e1"))
-    s = _segments(esc)
-    last = F.size(s) - 1
-    parts = F.transform(s, lambda x, i: F.when(i % 2 == 1, x).when((x == "") & (i > 0) & (i < last), F.lit('"')).otherwise(F.replace(x, F.lit(","), F.lit("\x1f"))))
-    cut = F.split(F.array_join(parts, ""), "\x1f", -1)
-    return F.transform(cut, lambda x: F.replace(F.replace(x, F.lit("\x1e1"), F.lit("\x1f")), F.lit("\x1e0"), F.lit("\x1e")))
+def _parsed(records: DataFrame, wanted: Sequence[str], carried: Sequence[str]) -> DataFrame:
+    """Each record (_text, _header_text) split once: carried columns, _quoted, _fits, and the wanted fields where both hold."""
+    fields = [records.schema[c] for c in carried]
+    wanted = tuple(wanted)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            quoted, fits, rows = [], [], []
+            for text, head in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
+                width, places = _header(head, wanted)
+                own = split_record(text)
+                quoted.append(own is not None)
+                fits.append(own is not None and len(own) == width)
+                rows.append([own[i] if i >= 0 else None for i in places] if fits[-1] else [None] * len(wanted))
+            values = [pa.array(c, pa.string()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.string())] * len(wanted)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(quoted, pa.bool_()), pa.array(fits, pa.bool_()), *values], names=[*b.schema.names[:-2], "_quoted", "_fits", *wanted])
+
+    schema = StructType([*fields, StructField("_quoted", BooleanType()), StructField("_fits", BooleanType()), *(StructField(c, StringType()) for c in wanted)])
+    return records.select(*carried, "_text", "_header_text").mapInArrow(split, schema)
 
 
 def load_lines(lines: DataFrame, path: str = "_source_path", offset: str = "_load_seq", text: str = "record_text", carried: Sequence[str] = ("_source_path", "_input_index", "_load_seq")) -> tuple[DataFrame, DataFrame]:
@@ -121,18 +139,20 @@ def load_lines(lines: DataFrame, path: str = "_source_path", offset: str = "_loa
     order; columns beyond the projected ones are ignored and a projected one
     that a file lacks is null. A record is loaded if it is well quoted, has as
     many fields as its header and sound values. A null record is an empty one:
-    one empty field. A file's header is never a record, even if damaged.
+    one empty field. A file's header is never a record, even if damaged. A null
+    path is a file of its own.
+
+    Records are split by a scanner, once for the strict load; what its offsets
+    leave of the raw ones, the remainder alone, is split again and diagnosed.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    raw = lines.select(*dict.fromkeys([*carried, path, offset]), t.alias("_text"))
-    header = raw.groupBy(path).agg(F.min(F.struct(offset, "_text")).alias("h"))
-    header = header.select(path, F.col(f"h.{offset}").alias("_header_at"), F.transform(fields(F.col("h._text")), F.trim).alias("_names"))
-    header = header.select(path, "_header_at", F.size("_names").alias("_width"), *[F.array_position("_names", c).alias(f"_at_{c}") for c in PROJECTED])
-    with_header = salted(raw.withColumn(path, F.coalesce(path, F.lit(""))), header.withColumn(path, F.coalesce(path, F.lit(""))), [path], F.col(offset), "inner")
-    records = with_header.where(F.col(offset) != F.col("_header_at"))
-    split = records.withColumn("_quoted", well_quoted(F.col("_text"))).withColumn("_fields", F.when(F.col("_quoted"), fields(F.col("_text"))))
-    values = split.select(*dict.fromkeys([*carried, offset]), "_quoted", (F.size("_fields") == F.col("_width")).alias("_fits"), *[F.when(F.col(f"_at_{c}") > 0, F.get("_fields", (F.col(f"_at_{c}") - 1).cast("int"))).alias(c) for c in PROJECTED])
-    loaded = values.where(F.col("_quoted") & F.col("_fits") & _sound())
-    rest = values.join(loaded.select(offset), offset, "left_anti")
+    raw = lines.select(*dict.fromkeys([*carried, path, offset]), F.coalesce(path, F.lit("")).alias("_file"), t.alias("_text"))
+    # longs keep the aggregate hash-based; the few header texts are fetched by their offsets
+    first = raw.groupBy("_file").agg(F.min(offset).alias("_header_at"))
+    header = first.join(raw.select(F.col(offset).alias("_header_at"), F.col("_text").alias("_header_text")), "_header_at")
+    records = salted(raw, header, ["_file"], F.col(offset), "inner").where(F.col(offset) != F.col("_header_at"))
+    strict = _parsed(records, CHECKED, [offset]).where(F.col("_quoted") & F.col("_fits") & _sound()).select(offset)
+    rest = _parsed(records.join(strict, offset, "left_anti"), CHECKED, [offset])
     reason = F.when(~F.col("_quoted"), F.array(F.lit("broken_quoting"))).when(~F.col("_fits"), F.array(F.lit("column_count"))).otherwise(_reasons())
+    loaded = _parsed(records, PROJECTED, list(dict.fromkeys(carried))).where(F.col("_quoted") & F.col("_fits") & _sound())
     return typed(loaded, carried), rest.select(col(offset).alias("load_seq"), F.explode(reason).alias("reason"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkledger.functions.text import col, non_blank
 from sparkledger.operators.history import attribute_history
-from sparkledger.operators.rejects import load_lines, load_table
+from sparkledger.operators.rejects import CHECKED, load_lines, load_table
 from sparkledger.operators.skew import chunked_totals
 from sparkledger.plans.registry import Registry
 from sparkledger.sources.columns import DATES, MONEY, PROJECTED, REQUIRED
@@ -75,17 +77,45 @@ with raw_checked as (
 """
 
 
-@R.add("p2_found")
+# A record is put behind a comma, so that each field, empty ones too, is a match of its own.
+FIELD_SQL = """("(?:[^"]|"")*"|[^",]*)"""
+UNQUOTED_SQL = """lambda x: case when x like '"%' then replace(x[2:len(x) - 1], '""', '"') else x end"""
+LINES_SQL = f"""
+with numbered as (select *, coalesce(_source_path, '') as file, coalesce(record_text, '') as t, _load_seq = min(_load_seq) over (partition by coalesce(_source_path, '')) as is_header from staging_lines),
+split as (
+  select *, regexp_full_match(',' || t, '(,{FIELD_SQL})+') as quoted, list_transform(regexp_extract_all(',' || t, ',{FIELD_SQL}', 1), {UNQUOTED_SQL}) as own from numbered
+), header as (select file, list_transform(own, lambda x: trim(x, ' ')) as names from split where is_header),
+records as (
+  select s.*, len(own) = len(names) as fits, {{columns}}
+  from split s join header using (file) where not is_header
+), judged as (
+  select *, case when not quoted then ['broken_quoting'] when not fits then ['column_count'] else {{reasons}} end as reasons from records
+)
+"""
+
+
+def _lines_sql(columns: Sequence[str]) -> str:
+    return LINES_SQL.format(columns=", ".join(f"own[list_position(names, '{c}')] as {c}" for c in columns), reasons=_checks_sql())
+
+
+RAW_REJECTS_SQL = RAW_SQL + """
+select _load_seq as load_seq, unnest(reasons) as reason from raw_checked where len(reasons) > 0
+union all select _load_seq, 'identity_collision' from raw_checked where len(reasons) = 0 and k in (select k from raw_collided)"""
+
+
+P2_SQL = f"""
+select 'staging_raw' as input_table, load_seq, reason from ({RAW_REJECTS_SQL})
+union select 'staging_lines', load_seq, reason from ({_lines_sql(CHECKED)} select _load_seq as load_seq, unnest(reasons) as reason from judged)"""
+
+
+@R.add("p2_found", P2_SQL)
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """No SQL twin: SQL has no reader for records held in a column; the raw part is p2_raw_rejects."""
     _, raw = load_table(table(spark, d, "staging_raw"))
     _, lines = load_lines(table(spark, d, "staging_lines"))
     return raw.select(F.lit("staging_raw").alias("input_table"), "load_seq", "reason").unionByName(lines.select(F.lit("staging_lines").alias("input_table"), "load_seq", "reason")).distinct()
 
 
-@R.add("p2_raw_rejects", RAW_SQL + """
-select _load_seq as load_seq, unnest(reasons) as reason from raw_checked where len(reasons) > 0
-union all select _load_seq, 'identity_collision' from raw_checked where len(reasons) = 0 and k in (select k from raw_collided)""")
+@R.add("p2_raw_rejects", RAW_REJECTS_SQL)
 def p2_raw_rejects(spark: SparkSession, d: str) -> DataFrame:
     return load_table(table(spark, d, "staging_raw"))[1]
 
@@ -101,7 +131,7 @@ def p2_raw_loaded(spark: SparkSession, d: str) -> DataFrame:
     return load_table(table(spark, d, "staging_raw"))[0]
 
 
-@R.add("p2_lines_loaded")
+@R.add("p2_lines_loaded", f"""{_lines_sql(PROJECTED)} select {", ".join(map(_typed_sql, PROJECTED))}, _source_path, _input_index, _load_seq from judged where len(reasons) = 0""")
 def p2_lines_loaded(spark: SparkSession, d: str) -> DataFrame:
     return load_lines(table(spark, d, "staging_lines"))[0]
 
