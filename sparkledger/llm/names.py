@@ -1,8 +1,9 @@
 """Variant spellings of names typed by people, linked by merge and rematch.
 
-Every distinct spelling becomes a small profile. Profiles that share a blocking
-key are compared; matching ones are merged, which unions their spellings and
-initials, and the richer profiles enter blocking again until nothing merges.
+Every distinct spelling becomes a small profile. Spellings that share a blocking
+key are compared; profiles with matching spellings are merged, which unions
+their spellings and initials, and the richer profiles are matched again until
+nothing merges.
 """
 
 from __future__ import annotations
@@ -13,11 +14,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkledger.sources.session import cut
+from sparkledger.sources.session import cut, slots
 
 # Words of company names and their usual short forms in English.
 SHORT_FORMS = {
@@ -102,8 +104,12 @@ def distance(a: str, b: str, limit: int) -> int:
     return row[len(b) - len(a) + limit]
 
 
-#: Words longer than this are no known word, and longer cores are blocked by their segments.
+#: Words longer than this are no known word.
 WORDY = 24
+#: Cores longer than this are blocked by their segments, which are fewer keys; shorter ones by left-out characters. Both lose no pair.
+SEGMENTED = 10
+#: Members of a block beyond which it is searched by left-out characters in place of pair by pair.
+CROWD = 32
 
 
 def _index(known: list[str]) -> dict[str, list[str]]:
@@ -199,18 +205,23 @@ def segments(w: str) -> set[str]:
     return out
 
 
-def keys(form: str) -> set[str]:
-    """Blocking keys, beside what else must agree: the core with up to two characters left out, or its segments.
+def nodes(form: str) -> list[str]:
+    """What spellings must agree in exactly (words of a company; a given name), before the letters of the core."""
+    kind, core, words, given, _ = form.split("|")
+    joined = core.replace(" ", "")
+    return [f"{kind}{b}|{joined}" for b in (given.split() if kind == "P" else [words])]
+
+
+def keys(node: str) -> set[str]:
+    """Blocking keys: what must agree with the core with up to two characters left out, or with its segments.
 
     Cores two characters short of the long ones have both kinds.
     """
-    kind, core, words, given, _ = form.split("|")
-    joined = core.replace(" ", "")
-    beside = given.split() if kind == "P" else ["".join(w[0] for w in words.split())]
-    cores = deletions(joined, reach(joined)) if len(joined) <= WORDY else {joined}
-    if len(joined) > WORDY - 2:
+    beside, joined = node.rsplit("|", 1)
+    cores = deletions(joined, reach(joined)) if len(joined) <= SEGMENTED else {joined}
+    if len(joined) > SEGMENTED - 2:
         cores |= segments(joined)
-    return {f"{kind}{b}|{d}" for d in cores for b in beside}
+    return {f"{beside}|{d}" for d in cores}
 
 
 @lru_cache(maxsize=500_000)
@@ -228,116 +239,101 @@ def same(a: str, b: str) -> bool:
     return left == right
 
 
-class Profile:
-    """Merged spellings of one name."""
-
-    def __init__(self, pid: str, forms: list[str]) -> None:
-        self.pids, self.forms = [pid], list(forms)
-        self.initials: set[str] = set()
-        self.given: set[str] | None = None
-        for f in forms:
-            self._take(f)
-
-    def _take(self, form: str) -> None:
-        _, _, _, given, initials = form.split("|")
-        self.initials |= set(initials.split())
-        g = set(given.split())
-        self.given = g if self.given is None else (self.given & g) or self.given
-
-    def matches(self, other: Profile) -> bool:
-        if self.initials and other.initials and not self.initials & other.initials:
-            return False
-        if (self.given or other.given) and not (self.given or set()) & (other.given or set()):
-            return False
-        return any(same(a, b) for a in self.forms for b in other.forms)
-
-    def merge(self, other: Profile) -> None:
-        self.pids += other.pids
-        for f in other.forms:
-            if f not in self.forms:
-                self.forms.append(f)
-                self._take(f)
-
+def near(members: list[str]) -> Iterator[tuple[str, str, int]]:
+    """Pairs of one block's nodes that agree beside the core, with the edits between their cores."""
+    split = [m.rsplit("|", 1) for m in members]
+    pairs: Iterator[tuple[int, int]] = combinations(range(len(members)), 2)
+    if len(members) > CROWD:
+        index: dict[tuple[str, str], list[int]] = {}
+        for i, (beside, core) in enumerate(split):
+            for d in deletions(core, reach(core)):
+                index.setdefault((beside, d), []).append(i)
+        pairs = iter({p for own in index.values() for p in combinations(own, 2)})
+    for i, j in pairs:
+        (a, x), (b, y) = split[i], split[j]
+        limit = min(reach(x), reach(y))
+        if a == b and limit and (d := distance(x, y, limit)) <= limit:
+            yield (*sorted((members[i], members[j])), d)
 
-def resolve_block(members: list[tuple[str, list[str]]]) -> list[tuple[str, str]]:
-    """Merge the matching profiles of one block; (representative, member) links.
 
-    Profiles with initials come first, so that a spelling without any joins one
-    of them and never bridges two that contradict each other.
-    """
-    done: list[Profile] = []
-    for p in sorted((Profile(pid, forms) for pid, forms in members), key=lambda p: (not p.initials, p.pids[0])):
-        merged = True
-        while merged:
-            merged = False
-            for q in done:
-                if q.matches(p):
-                    done.remove(q)
-                    q.merge(p)
-                    p, merged = q, True
-                    break
-        done.append(p)
-    return [(min(p.pids), x) for p in done if len(p.pids) > 1 for x in p.pids if x != min(p.pids)]
-
-
-def _links(profiles: DataFrame) -> DataFrame:
-    """Links found by blocking profiles (pid, forms, fresh); a block without a fresh one is passed over."""
+def _neighbours(names: DataFrame) -> DataFrame:
+    """a, b, d for nodes (column node, each once) that typing errors may have turned into each other."""
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(k, pid, forms, fresh) for pid, forms, fresh in zip(*[c.to_pylist() for c in b.columns], strict=True) for k in {k for f in forms for k in keys(f)}]
-            for lo in range(0, len(rows), 20_000):
-                k, pid, forms, fresh = zip(*rows[lo : lo + 20_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(pid), pa.array(forms, pa.list_(pa.string())), pa.array(fresh, pa.bool_())], names=["key", "pid", "forms", "fresh"])
+            for lo in range(0, b.num_rows, 2000):
+                own = b.column(0).slice(lo, 2000).to_pylist()
+                several = [keys(n) for n in own]
+                at = np.repeat(np.arange(len(own), dtype=np.int32), [len(k) for k in several])
+                yield pa.RecordBatch.from_arrays([pa.array([k for ks in several for k in ks]), pa.array(own).take(pa.array(at))], names=["key", "node"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[str, str]] = set()
-        key, members, fresh = None, [], False
-
-        def close() -> None:
-            if fresh and len(members) > 1:
-                seen.update(resolve_block(members))
-
+        found: set[tuple[str, str, int]] = set()
+        key, members = None, []
         for b in batches:
-            for k, pid, forms, f in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if k != key:
-                    close()
-                    key, members, fresh = k, [], False
-                members.append((pid, forms))
-                fresh = fresh or f
-            if len(seen) > 100_000:
-                yield _pairs(seen)
-                seen = set()
-        close()
-        yield _pairs(seen)
-
-    entries = profiles.select("pid", "forms", "fresh").mapInArrow(enter, "key string, pid string, forms array<string>, fresh boolean")
-    rows = entries.select(F.xxhash64("key").alias("key"), "pid", "forms", "fresh").repartition("key").sortWithinPartitions("key")
-    return rows.mapInArrow(compare, "a string, b string").distinct()
-
-
-def _pairs(seen: set[tuple[str, str]]) -> pa.RecordBatch:
-    a, b = zip(*sorted(seen), strict=True) if seen else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
+            k = b.column(0).to_numpy()
+            own = b.column(1).to_pylist()
+            cuts = np.flatnonzero(k[1:] != k[:-1]) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(own)], strict=True):
+                if lo == hi:
+                    continue
+                if k[lo] != key:
+                    if len(members) > 1:
+                        found.update(near(members))
+                    key, members = k[lo], []
+                members += own[lo:hi]
+            if len(found) > 100_000:
+                yield _rows(found)
+                found = set()
+        if len(members) > 1:
+            found.update(near(members))
+        yield _rows(found)
+
+    entries = names.repartition(2 * slots(names.sparkSession)).mapInArrow(enter, "key string, node string")
+    rows = entries.select(F.xxhash64("key").alias("key"), "node").repartition("key").sortWithinPartitions("key")
+    return rows.mapInArrow(compare, "a string, b string, d int").distinct()
+
+
+def _rows(found: set[tuple[str, str, int]]) -> pa.RecordBatch:
+    a, b, d = zip(*sorted(found), strict=True) if found else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(d, pa.int32())], names=["a", "b", "d"])
+
+
+def agree(initials: set[str], given: set[str], more_initials: set[str], more_given: set[str]) -> bool:
+    """False where initials or given names contradict each other."""
+    return not (initials and more_initials and not initials & more_initials) and not ((given or more_given) and not given & more_given)
+
+
+def _agree(a: str, b: str) -> Column:
+    """The same of columns a_initials and so on."""
+    i, j, g, h = (F.col(f"{x}_{k}") for k in ("initials", "given") for x in (a, b))
+    return ~((F.size(i) > 0) & (F.size(j) > 0) & ~F.arrays_overlap(i, j)) & ~(((F.size(g) > 0) | (F.size(h) > 0)) & ~F.coalesce(F.arrays_overlap(g, h), F.lit(False)))
+
+
+def _accept(proposals: DataFrame) -> DataFrame:
+    """tail, head: each head takes its proposals in order, those that agree with what it has become by then."""
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, initials, given = None, set(), set()
+        for b in batches:
+            taken = []
+            for h, t, hi, hg, ti, tg in zip(*(b.column(c).to_pylist() for c in ("head", "tail", "head_initials", "head_given", "tail_initials", "tail_given")), strict=True):
+                if h != head:
+                    head, initials, given = h, set(hi), set(hg)
+                if agree(initials, given, set(ti), set(tg)):
+                    initials |= set(ti)
+                    given &= set(tg)
+                    taken.append((t, h))
+            t, h = zip(*taken, strict=True) if taken else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(t, pa.string()), pa.array(h, pa.string())], names=["tail", "head"])
 
+    ordered = proposals.repartition("head").sortWithinPartitions("head", "d", "tail").drop("d")
+    return ordered.mapInArrow(grow, "tail string, head string")
 
-def components(links: DataFrame) -> DataFrame:
-    """pid and the least pid of its component, for every pid in a link (a, b).
 
-    Each round every pid takes the least label among its own and its
-    neighbours', then the label of that label, until none changes.
-    """
-    both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "pid"))
-    while True:
-        seen = both.join(labels.withColumnRenamed("pid", "b"), "b").groupBy(F.col("a").alias("pid")).agg(F.min("label").alias("near"))
-        step = labels.join(seen, "pid").select("pid", F.least("label", "near").alias("new"), "label")
-        jump = labels.select(F.col("pid").alias("new"), F.col("label").alias("far"))
-        nxt = cut(step.join(jump, "new", "left").select("pid", F.least("new", F.coalesce("far", "new")).alias("label"), F.col("label").alias("old")))
-        changed = not nxt.where("label <> old").isEmpty()
-        labels = nxt.select("pid", "label")
-        if not changed:
-            return labels
+def _renamed(df: DataFrame, merged: DataFrame, column: str) -> DataFrame:
+    new = merged.select(F.col("tail").alias(column), F.col("head").alias("_head"))
+    return df.join(new, column, "left").withColumn(column, F.coalesce("_head", column)).drop("_head")
 
 
 def resolve_names(df: DataFrame, id: Column, name: Column) -> DataFrame:
@@ -349,28 +345,60 @@ def resolve_names(df: DataFrame, id: Column, name: Column) -> DataFrame:
     change nothing; an empty table gives no rows.
 
     Distinct canonical spellings are all that is compared, so a name that a
-    third of the rows bear counts once. Shared keys pair a spelling only with
-    those whose core differs by at most two left-out characters, or shares a
-    third with it if it has more than WORDY characters, and that agree in given
-    name or in the initials of their other words.
+    third of the rows bear counts once. Two are linked if they agree in the
+    words of a company or a given name and in their initials, and at most two
+    typing errors lie between the rest.
+
+    Profiles merge along links, in rounds: each proposes to the lowest of its
+    partners (by an order drawn anew each round, profiles with initials first; a
+    person without any initial to the most alike), and those that don't propose
+    themselves take their proposals one by one. A merged profile has the
+    initials of all its spellings and the given names that all of them allow,
+    and comes back with its links in the next round; none is ever merged with
+    one that it contradicts, however many spellings lie between them.
     """
 
     def canonical(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([spelling(n) for n in b.column(1).to_pylist()], pa.string())], names=["id", "pid"])
 
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            forms = b.column(0).to_pylist()
+            words = [f.split("|") for f in forms]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([nodes(f) for f in forms], pa.list_(pa.string())), pa.array([w[4].split() for w in words], pa.list_(pa.string())), pa.array([w[3].split() for w in words], pa.list_(pa.string()))], names=["pid", "nodes", "initials", "given"])
+
     named = df.select(id.cast("string").alias("id"), name.cast("string").alias("name")).where("id is not null and name is not null").distinct()
     spelled = cut(named.mapInArrow(canonical, "id string, pid string").distinct())
-    entity = cut(spelled.select("pid").distinct().withColumn("entity", F.col("pid")))
-    fresh = entity.select("entity", F.lit(True).alias("fresh")).distinct()
+    forms = cut(spelled.select("pid").distinct().mapInArrow(places, "pid string, nodes array<string>, initials array<string>, given array<string>"))
+    at = forms.select("pid", "initials", "given", F.explode("nodes").alias("node"))
+    side = lambda x: at.select(F.col("node").alias(f"{x}_node"), F.col("pid").alias(x), F.col("initials").alias(f"{x}_initials"), F.col("given").alias(f"{x}_given"))
+    here = side("a").join(side("b"), F.col("a_node") == F.col("b_node")).where("a < b").withColumn("d", F.lit(0))
+    typos = cut(_neighbours(at.select("node").distinct())).select(F.col("a").alias("a_node"), F.col("b").alias("b_node"), "d")
+    there = typos.join(side("a"), "a_node").join(side("b"), "b_node").where("a <> b")
+    linked = here.unionByName(there).where(_agree("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d")
+    links = cut(linked.groupBy("a", "b").agg(F.min("d").alias("d")))
+    entity = forms.select("pid", F.col("pid").alias("entity"))
+    profile = forms.select(F.col("pid").alias("entity"), "initials", "given")
+    turn = 0
     while True:
-        forms = entity.groupBy("entity").agg(F.collect_set("pid").alias("forms"))
-        profiles = forms.join(fresh, "entity", "left").select(F.col("entity").alias("pid"), "forms", F.coalesce("fresh", F.lit(False)).alias("fresh"))
-        links = cut(_links(profiles))
-        if links.isEmpty():
+        own = lambda x: profile.select(F.col("entity").alias(x), F.col("initials").alias(f"{x}_initials"), F.col("given").alias(f"{x}_given"))  # noqa: B023, E731
+        both = links.join(own("a"), "a").join(own("b"), "b").where(_agree("a", "b"))
+        rank = lambda x: F.struct((F.size(f"{x}_initials") == 0).alias("bare"), F.xxhash64(F.lit(turn), x).alias("drawn"), F.col(x).alias("by"))  # noqa: B023, E731
+        up = F.when(rank("b") < rank("a"), F.struct(*[F.col(f"{x}{k}").alias(f"{y}{k}") for x, y in (("b", "head"), ("a", "tail")) for k in ("", "_initials", "_given")], rank("b").alias("rank")))
+        down = F.struct(*[F.col(f"{x}{k}").alias(f"{y}{k}") for x, y in (("a", "head"), ("b", "tail")) for k in ("", "_initials", "_given")], rank("a").alias("rank"))
+        asked = both.select("d", F.coalesce(up, down).alias("x")).select("d", "x.*")
+        doubt = F.when((F.size("tail_given") > 0) & (F.size("tail_initials") == 0), F.col("d")).otherwise(0)
+        best = asked.groupBy("tail").agg(F.min(F.struct(doubt.alias("doubt"), "rank", "head", "d", "head_initials", "head_given", "tail_initials", "tail_given")).alias("p")).select("tail", "p.*")
+        best = cut(best.drop("doubt", "rank"))
+        merged = cut(_accept(best.join(best.select(F.col("tail").alias("head")), "head", "left_anti")))
+        if merged.isEmpty():
             break
-        labels = components(links).withColumnRenamed("pid", "entity")
-        merged = entity.join(labels, "entity", "left")
-        entity = cut(merged.select("pid", F.coalesce("label", "entity").alias("entity")))
-        fresh = labels.select(F.col("label").alias("entity"), F.lit(True).alias("fresh")).distinct()
-    return spelled.join(entity, "pid").select("id", "entity").distinct()
+        entity = cut(_renamed(entity, merged, "entity"))
+        gathered = _renamed(profile, merged, "entity").groupBy("entity").agg(F.array_distinct(F.flatten(F.collect_set("initials"))).alias("initials"), F.collect_set("given").alias("givens"))
+        profile = cut(gathered.select("entity", "initials", F.aggregate("givens", F.get("givens", F.lit(0)), F.array_intersect).alias("given")))
+        links = _renamed(_renamed(links, merged, "a"), merged, "b").where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("d").alias("d"))
+        links = cut(links)
+        turn += 1
+    named = entity.groupBy("entity").agg(F.min("pid").alias("least"))
+    return spelled.join(entity, "pid").join(named, "entity").select("id", F.col("least").alias("entity")).distinct()
