@@ -107,7 +107,7 @@ def distance(a: str, b: str, limit: int) -> int:
 #: Words longer than this are no known word.
 WORDY = 24
 #: Cores longer than this are blocked by their segments, which are fewer keys; shorter ones by left-out characters. Both lose no pair.
-SEGMENTED = 10
+SEGMENTED = 8
 #: Members of a block beyond which it is searched by left-out characters in place of pair by pair.
 CROWD = 32
 
@@ -269,24 +269,32 @@ def _neighbours(names: DataFrame) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: set[tuple[str, str, int]] = set()
-        key, members = None, []
-        for b in batches:
-            k = b.column(0).to_numpy()
-            own = b.column(1).to_pylist()
-            cuts = np.flatnonzero(k[1:] != k[:-1]) + 1
-            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(own)], strict=True):
-                if lo == hi:
+        left: list[pa.RecordBatch] = []  # what may go on: the last block so far
+        for b in _then_none(batches):
+            if b is not None:
+                if not b.num_rows:
+                    continue
+                left.append(b)
+                if left[0].column(0)[0].as_py() == b.column(0)[-1].as_py():
                     continue
-                if k[lo] != key:
-                    if len(members) > 1:
-                        found.update(near(members))
-                    key, members = k[lo], []
-                members += own[lo:hi]
+            if not left:
+                continue
+            whole = pa.Table.from_batches(left).combine_chunks()
+            k = whole.column(0).to_numpy()
+            begin = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+            done = len(k) if b is None else int(begin[-1])
+            left = [] if b is None else whole.slice(done).to_batches()
+            sizes = np.diff(np.r_[begin, len(k)])
+            several = (sizes > 1) & (begin < done)
+            rows = np.repeat(several, sizes)
+            own = whole.column(1).filter(pa.array(rows)).to_pylist()
+            at = 0
+            for n in sizes[several].tolist():
+                found.update(near(own[at : at + n]))
+                at += n
             if len(found) > 100_000:
                 yield _rows(found)
                 found = set()
-        if len(members) > 1:
-            found.update(near(members))
         yield _rows(found)
 
     entries = names.repartition(2 * slots(names.sparkSession)).mapInArrow(enter, "key string, node string")
@@ -294,6 +302,11 @@ def _neighbours(names: DataFrame) -> DataFrame:
     return rows.mapInArrow(compare, "a string, b string, d int").distinct()
 
 
+def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
 def _rows(found: set[tuple[str, str, int]]) -> pa.RecordBatch:
     a, b, d = zip(*sorted(found), strict=True) if found else ((), (), ())
     return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(d, pa.int32())], names=["a", "b", "d"])
