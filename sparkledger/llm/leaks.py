@@ -223,14 +223,16 @@ def _block(corpus: DataFrame, items: Items, doc_type: str, id_type: str, window:
     df = np.zeros(len(items.seeds), dtype=np.int64)
     for r in counts:
         df[r["seed"]] = r["n"]
-    rare = _rare_seeds(items, df, window)
+    rare, fewest = _rare_seeds(items, df, window)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for doc, i, seeds, ids in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 doc_words = np.array(ids, dtype=np.int64)
-                if not rare.isdisjoint(seeds) or (share is not None and in_common(items.texts[i], doc_words) >= share * len(items.texts[i])):
+                # a run of a whole window holds its rarest seed and as many seeds as any window has
+                whole = len(seeds) >= fewest[i] and not rare.isdisjoint(seeds)
+                if whole or (share is not None and in_common(items.texts[i], doc_words) >= share * len(items.texts[i])):
                     s, run = align(items.texts[i], doc_words)
                     rows.append((doc, items.ids[i], s, s / max(1, 2 * len(items.texts[i])), run))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 5
@@ -245,16 +247,14 @@ def _record(rows: list[tuple], doc_type: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, doc_type), pa.array(b, pa.int32()), pa.array(c, pa.list_(pa.int32())), pa.array(d, pa.list_(pa.int32()))], names=["doc_id", "item", "seeds", "words"])
 
 
-def _rare_seeds(items: Items, df: np.ndarray, window: int) -> set[int]:
-    """Of every window of every item, the seed that stands in the fewest documents."""
+def _rare_seeds(items: Items, df: np.ndarray, window: int) -> tuple[set[int], list[int]]:
+    """Of every window of every item, the seed that stands in the fewest documents; of every item, the fewest different seeds of a window."""
     rare: set[int] = set()
+    fewest = []
     for t in items.texts:
-        h = hashes(t, items.n)
-        if not len(h):
-            continue
-        seed = np.searchsorted(items.seeds, h)
-        width = min(window - items.n + 1, len(h))
-        for lo in range(len(h) - width + 1):
-            part = seed[lo : lo + width]
-            rare.add(int(part[np.argmin(df[part])]))
-    return rare
+        seed = np.searchsorted(items.seeds, hashes(t, items.n))
+        width = min(window - items.n + 1, len(seed))
+        parts = [seed[lo : lo + width] for lo in range(len(seed) - width + 1)] if len(seed) else []
+        rare.update(int(part[np.argmin(df[part])]) for part in parts)
+        fewest.append(min((len(np.unique(part)) for part in parts), default=0))
+    return rare, fewest

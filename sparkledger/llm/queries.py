@@ -95,7 +95,9 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _leaked(spark: SparkSession, d: str, share: float | None) -> DataFrame:
-    return leaked(table(spark, d, "documents"), table(spark, d, "eval_items"), share=share)
+    # shorter seeds, and fewer of them, find copies of which a fifth of the words is edited
+    kind = {} if share is None else {"n": 4, "least": 4}
+    return leaked(table(spark, d, "documents"), table(spark, d, "eval_items"), share=share, **kind)
 
 
 @R.add("p9_found")
@@ -105,7 +107,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("p9_scores")
 def p9_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Edited copies too: alignments that reach half of the item's best score, where six seeds of the item lie within its length."""
+    """Edited copies too: alignments that reach half of the item's best score, where four seeds of four words lie within its length."""
     return _leaked(spark, d, 0.5).where("share >= 0.5 or longest_run >= 13")
 
 

@@ -73,6 +73,21 @@ def test_edited_copies_without_rare_seeds_score(spark):
     assert {r["doc_id"] for r in leaked(docs, tests, share=None).collect() if r["longest_run"] >= 13} == {1}
 
 
+@pytest.mark.parametrize(("rate", "recall"), [(0.05, 1.0), (0.1, 1.0), (0.2, 0.97)])
+def test_recall_of_edited_copies(spark, rate, recall):
+    """Words replaced, left out and added at random, of items of 28 to 84 words, with the seeds that p9_scores takes."""
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(400)]
+    items = [(i, rng.choices(vocabulary, k=rng.randint(28, 84))) for i in range(150)]
+    docs = []
+    for i, w in items:
+        copy = [y for x in w for y in ([x] if rng.random() >= rate else rng.choice([[rng.choice(vocabulary)], [], [x, rng.choice(vocabulary)]]))]
+        docs.append((i, " ".join([*rng.choices(vocabulary, k=80), *copy, *rng.choices(vocabulary, k=80)])))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = leaked(frame, spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string"), share=0.5, n=4, least=4).collect()
+    assert sum(r["doc_id"] == r["item_id"] and r["share"] >= 0.5 for r in got) >= recall * len(items)
+
+
 def test_blocks_of_items_and_empty_sides(spark, monkeypatch):
     import sparkledger.llm.leaks as m
 
