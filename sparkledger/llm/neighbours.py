@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from sparkledger.operators.rejects import salted
 from sparkledger.sources.session import cut
 
+#: Vectors to a bucket that the number of buckets aims at.
+LOAD = 8
 #: Entries of a bucket that one task compares at once; a larger bucket is compared tile by tile, with nothing left out.
 TILE = 2048
 
@@ -38,11 +40,21 @@ def signs(seed: int, tables: int, hashes: int, dim: int) -> np.ndarray:
     return np.random.default_rng(seed).choice(np.array([-1.0, 1.0], dtype=np.float32), size=(tables, hashes, 3, dim))
 
 
-def buckets(x: np.ndarray, turns: np.ndarray, probes: int) -> np.ndarray:
+def shape(n: int, dim: int) -> tuple[int, int]:
+    """How many rotations a table joins, and how many coordinates of the last one count, for about LOAD of ``n`` vectors to a bucket."""
+    axes = 2 << (dim - 1).bit_length()
+    hashes, room = 1, max(2.0, n / LOAD)
+    while room > axes:
+        hashes, room = hashes + 1, room / axes
+    return hashes, min(axes // 2, 1 << max(0, round(np.log2(room)) - 1))
+
+
+def buckets(x: np.ndarray, turns: np.ndarray, probes: int, last: int | None = None) -> np.ndarray:
     """Bucket numbers, (tables, rows, probes): the nearest axes first, then the likeliest others.
 
-    Another bucket differs in one of the two axes. Its penalty is how much
-    farther that axis is than the nearest.
+    Another bucket differs in one of the axes. Its penalty is how much farther
+    that axis is than the nearest. Of the last rotation only the first ``last``
+    coordinates have axes.
     """
     tables, hashes, _, dim = turns.shape
     width = 1 << (dim - 1).bit_length()
@@ -50,6 +62,7 @@ def buckets(x: np.ndarray, turns: np.ndarray, probes: int) -> np.ndarray:
     padded[:, :dim] = x
     rows = np.arange(len(x))
     out = np.empty((tables, len(x), probes), dtype=np.int64)
+    last = last or width
     depth = min(probes, 2 * width)
     for t in range(tables):
         axes, far = [], []
@@ -57,13 +70,13 @@ def buckets(x: np.ndarray, turns: np.ndarray, probes: int) -> np.ndarray:
             y = padded
             for s in turns[t, h]:
                 y = hadamard(y * np.pad(s, (0, width - dim), constant_values=1.0))
-            both = np.concatenate((y, -y), axis=1)
+            both = np.concatenate((y, -y), axis=1) if h < hashes - 1 else np.pad(np.concatenate((y[:, :last], -y[:, :last]), axis=1), ((0, 0), (0, 2 * (width - last))), constant_values=-np.inf)
             top = np.argpartition(-both, depth - 1, axis=1)[:, :depth]
             size = np.take_along_axis(both, top, axis=1)
             order = np.argsort(-size, axis=1, kind="stable")
             axes.append(np.take_along_axis(top, order, axis=1))
             size = np.take_along_axis(size, order, axis=1)
-            far.append((size[:, :1] - size) / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-30))
+            far.append((size[:, :1] - np.maximum(size, -1e30)) / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-30))
         code = lambda picks: sum(a[rows, p] * (2 * width) ** i for i, (a, p) in enumerate(zip(axes, picks, strict=True)))
         zero = np.zeros(len(x), dtype=np.int64)
         out[t, :, 0] = code([zero] * hashes)
@@ -156,7 +169,7 @@ def _tiled(entries: DataFrame, crowded: DataFrame) -> DataFrame:
     return pairs.select("bucket", (lo * F.col("tiles") + hi).alias("tile"), side.alias("side"), "cid", "vec")
 
 
-def nearest(df: DataFrame, id: Column, vec: Column, k: int = 5, least: float = 0.9, dim: int = 64, tables: int = 6, probes: int = 3, seed: int = 20) -> DataFrame:
+def nearest(df: DataFrame, id: Column, vec: Column, k: int = 5, least: float = 0.9, dim: int = 64, tables: int | None = None, probes: int = 3, seed: int = 20) -> DataFrame:
     """The ``k`` most similar others of every vector: id, place (from 1), other, cosine.
 
     Cosines are in double precision rounded to 6 digits; pairs under ``least``
@@ -165,6 +178,10 @@ def nearest(df: DataFrame, id: Column, vec: Column, k: int = 5, least: float = 0
     do null ids. An id that stands with several vectors keeps one of them, the
     same in every run.
 
+    A table joins as many rotations as the number of vectors asks for, so that
+    buckets stay small and the work grows with the vectors; the number of tables
+    grows with the rotations.
+
     Approximate: a neighbour is found if in any table the two share a bucket,
     by their nearest axes or probes. Within buckets nothing is left out, however
     many vectors they hold: a crowded bucket is compared in pairs of tiles.
@@ -182,13 +199,15 @@ def nearest(df: DataFrame, id: Column, vec: Column, k: int = 5, least: float = 0
     of_class = Window.partitionBy("h1", "h2").orderBy("id")
     few = ids.withColumn("r", F.row_number().over(of_class)).where(F.col("r") <= k1).groupBy("h1", "h2").agg(F.min("id").alias("cid"), F.array_sort(F.collect_list("id")).alias("ids"))
     classes = usable.withColumnRenamed("id", "cid").join(few, ["cid", "h1", "h2"]).dropDuplicates(["cid"])
-    turns = signs(seed, tables, 2, dim)
+    hashes, last = shape(ids.count(), dim)
+    tables = tables or 2 * hashes
+    turns = signs(seed, tables, hashes, dim)
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 4096):
                 b = whole.slice(start, 4096)
-                codes = buckets(_unit(_vectors(b.column("vec"), dim)).astype(np.float32), turns, probes)
+                codes = buckets(_unit(_vectors(b.column("vec"), dim)).astype(np.float32), turns, probes, last)
                 number = (codes * tables + np.arange(tables)[:, None, None]).transpose(1, 0, 2).reshape(b.num_rows, -1)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * number.shape[1]), pa.array(number.ravel()))
                 yield pa.RecordBatch.from_arrays([*b.columns, lists], names=[*b.schema.names, "buckets"])

@@ -71,3 +71,14 @@ def test_what_takes_no_part(spark):
     df = spark.createDataFrame(rows, "doc_id long, vec array<float>")
     assert lists(df) == {1: [(2, 1.0)], 2: [(1, 1.0)]}
     assert lists(df.where("false")) == {}
+
+
+def test_buckets_grow_with_the_vectors():
+    """About as many vectors to a bucket at every size, and the whole last rotation before another one is joined."""
+    assert [m.shape(n, 64) for n in (0, 8, 1000, 95_000, 10**6, 10**9)] == [(1, 1), (1, 1), (1, 64), (2, 64), (3, 4), (4, 32)]
+    x = np.random.default_rng(6).normal(size=(4000, 64)).astype(np.float32)
+    for n in (4000, 64_000, 10**6):
+        hashes, last = m.shape(n, 64)
+        codes = buckets(x, signs(1, 2, hashes, 64), 2, last)
+        assert len(np.unique(codes[0, :, 0])) > min(0.5 * 128 ** (hashes - 1) * 2 * last, 1500)
+        assert (codes[:, :, 0] != codes[:, :, 1]).all()
