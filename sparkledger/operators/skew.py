@@ -24,12 +24,28 @@ from sparkledger.sources.session import cut, slots
 MAX_BROADCAST_OFFSETS = 200_000
 
 
-def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the partition and the row's number within its key in this partition, from 0."""
+def _number(batches: Iterator[pa.RecordBatch], heavy_only: bool = False) -> Iterator[pa.RecordBatch]:
+    """Adds the partition and the row's number within its key in this partition, from 0.
+
+    With ``heavy_only`` only rows with an _offset are numbered, and only their
+    keys remembered.
+    """
     part = TaskContext.get().partitionId()
     seen: dict[object, int] = {}
     for b in batches:
-        coded = pc.dictionary_encode(b.column(0), null_encoding="encode")
+        if heavy_only:
+            heavy = pc.is_valid(b.column("_offset"))
+            no = np.zeros(b.num_rows, dtype=np.int64)
+            no[heavy.to_numpy(zero_copy_only=False)] = _next(b.column(0).filter(heavy), seen)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(no)], names=[*b.schema.names, "_no"])
+            continue
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, part, dtype=np.int32)), pa.array(_next(b.column(0), seen))], names=[*b.schema.names, "_part", "_no"])
+
+
+def _next(column: pa.Array, seen: dict[object, int]) -> np.ndarray:
+    """The number of each row within its key, from what was seen on."""
+    if len(column):
+        coded = pc.dictionary_encode(column, null_encoding="encode")
         codes = np.asarray(coded.indices)
         order = np.argsort(codes, kind="stable")
         size = np.bincount(codes, minlength=len(coded.dictionary))
@@ -39,7 +55,8 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         no = np.empty(len(codes), dtype=np.int64)
         no[order] = np.arange(len(codes)) - first[codes[order]] + base[codes[order]]
         seen.update((k, int(n + m)) for k, n, m in zip(keys, base, size, strict=True))
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(codes), part, dtype=np.int32)), pa.array(no)], names=[*b.schema.names, "_part", "_no"])
+        return no
+    return np.zeros(0, dtype=np.int64)
 
 
 def number_within_key(df: DataFrame, key: Column, columns: dict[str, Column], chunk_rows: int | None = None) -> tuple[DataFrame, int]:
@@ -70,9 +87,13 @@ def number_within_key(df: DataFrame, key: Column, columns: dict[str, Column], ch
         F.sum("n").over(by_key).alias("_total"),
     )
     offsets = cut(offsets.where(F.col("_total") > chunk_rows).drop("_total"))
+    match = F.col("key").eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_p"))
     if offsets.count() <= MAX_BROADCAST_OFFSETS:
-        offsets = F.broadcast(offsets)
-    numbered = rows.mapInArrow(_number, schema).join(offsets, F.col("key").eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_p")), "left")
+        # the offsets come to the rows where they lie, so that only heavy keys are numbered and remembered
+        met = rows.withColumn("_part", F.spark_partition_id()).join(F.broadcast(offsets), match, "left").drop("_key", "_p", "_part")
+        numbered = met.mapInArrow(lambda batches: _number(batches, heavy_only=True), T.StructType([*met.schema.fields, T.StructField("_no", T.LongType())]))
+    else:
+        numbered = rows.mapInArrow(_number, schema).join(offsets, match, "left")
     no = F.col("_offset") + F.col("_no")
     chunk = F.coalesce(F.floor(no / max(1, chunk_rows)), F.lit(0)).cast("long")
     return numbered.select("key", *columns, no.alias("key_no"), chunk.alias("chunk")), all_rows
@@ -90,5 +111,10 @@ def chunked_totals(df: DataFrame, key: Column, amount: Column, day: Column, heav
     """
     rows, all_rows = number_within_key(df, key, {"amount": amount, "day": day})
     states = rows.groupBy("key", "chunk").agg(F.count("*").alias("n"), F.sum(F.col("amount").cast("decimal(38,2)")).alias("s"), F.max("day").alias("d"))
-    merged = states.groupBy("key").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_chunks"), F.sum("s").cast("decimal(38,2)").alias("amount_sum"), F.max("d").alias("latest"))
+    # a key has at most one chunk more than all its rows fill: a bounded list, merged from the first chunk to the last
+    ordered = states.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("chunk", "n", "s", "d"))).alias("chunks"))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("decimal(38,2)").alias("s"), F.lit(None).cast("date").alias("d"))
+    plus = lambda a, b: F.coalesce(a + b, a, b).cast("decimal(38,2)")
+    last = F.aggregate("chunks", start, lambda a, c: F.struct((a["n"] + c["n"]).alias("n"), plus(a["s"], c["s"].cast("decimal(38,2)")).alias("s"), F.greatest(a["d"], c["d"]).alias("d")))
+    merged = ordered.select("key", F.size("chunks").cast("long").alias("n_chunks"), last.alias("x")).select("key", F.col("x.n").alias("n_rows"), "n_chunks", F.col("x.s").alias("amount_sum"), F.col("x.d").alias("latest"))
     return merged.where("key is not null").withColumn("heavy", F.col("n_rows") * 100 >= F.lit(heavy_percent * all_rows))
