@@ -23,9 +23,10 @@ def check_integrity(tables: Mapping[str, DataFrame]) -> DataFrame:
     """check_name and n_bad of every check that finds something.
 
     Keys must be unique (pk:) and not null (pk_null:); a link that is not null
-    must lead to a row (fk:, counted in rows of the pointing table). Links are
-    counted per value before the join, so a hot value costs one row. Tables
-    that are absent are not checked, nor links to them.
+    must lead to a row (fk:, counted in rows of the pointing table). All links
+    of a table are read in one scan and counted per value before the one join,
+    so a hot value costs one row. Tables that are absent are not checked, nor
+    links to them.
     """
     parts = []
     for name, key in KEYS.items():
@@ -33,11 +34,17 @@ def check_integrity(tables: Mapping[str, DataFrame]) -> DataFrame:
             n, distinct, nulls = F.count("*"), F.count_distinct(key), F.count_if(F.col(key).isNull())
             counted = tables[name].agg((n - distinct).alias("dup"), nulls.alias("null"))
             parts.append(counted.select(F.inline(F.array(F.struct(F.lit(f"pk:{name}.{key}").alias("check_name"), F.col("dup").alias("n_bad")), F.struct(F.lit(f"pk_null:{name}.{key}").alias("check_name"), F.col("null").alias("n_bad"))))))
-    for name, c, target in LINKS:
-        if name in tables and target in tables:
-            used = tables[name].where(F.col(c).isNotNull()).groupBy(F.col(c).alias("k")).agg(F.count("*").alias("n"))
-            lost = used.join(tables[target].select(F.col(KEYS[target]).alias("k")), "k", "left_anti")
-            parts.append(lost.agg(F.lit(f"fk:{name}.{c}").alias("check_name"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_bad")))
+    used, targets = [], set()
+    for name in dict.fromkeys(n for n, _, _ in LINKS if n in tables):
+        links = [(c, target) for n, c, target in LINKS if n == name and target in tables]
+        if links:
+            targets |= {t for _, t in links}
+            each = tables[name].select(F.inline(F.array(*[F.struct(F.lit(f"fk:{name}.{c}").alias("check_name"), F.lit(t).alias("target"), F.col(c).alias("k")) for c, t in links])))
+            used.append(each.where("k is not null").groupBy("check_name", "target", "k").agg(F.count("*").alias("n")))
+    if used:
+        there = reduce(DataFrame.unionByName, [tables[t].select(F.lit(t).alias("target"), F.col(KEYS[t]).alias("k")) for t in sorted(targets)])
+        lost = reduce(DataFrame.unionByName, used).join(there, ["target", "k"], "left_anti")
+        parts.append(lost.groupBy("check_name").agg(F.sum("n").alias("n_bad")))
     return reduce(DataFrame.unionByName, parts).where("n_bad > 0")
 
 

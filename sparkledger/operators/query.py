@@ -28,10 +28,10 @@ ROLES = ("awarding", "funding", "recipient", "place_of_performance")
 
 @dataclass(frozen=True)
 class PlaceFilter:
-    """Awards whose place in ``role`` is among the ids and has the given parts."""
+    """Awards whose place in ``role`` is among the ids (a collection, or a relation with location_id) and has the given parts."""
 
     role: str
-    location_ids: Collection[str] | None = None
+    location_ids: Collection[str] | DataFrame | None = None
     country_code: str | None = None
     state_code: str | None = None
     county_fips: str | None = None
@@ -43,8 +43,10 @@ class PlaceFilter:
         return {f: v.lower() if f == "city_name" else v for f, v in given.items() if v}
 
 
-def _among(awards: DataFrame, column: str, ids: Collection[str]) -> DataFrame:
-    """An empty collection leaves nothing."""
+def _among(awards: DataFrame, column: str, ids: Collection[str] | DataFrame) -> DataFrame:
+    """An empty collection leaves nothing; a relation is joined, never collected."""
+    if isinstance(ids, DataFrame):
+        return awards.join(ids.select(F.col(ids.columns[0]).alias(column)), column, "left_semi")
     ids = sorted(set(ids))
     if not ids:
         return awards.where("false")
@@ -133,22 +135,23 @@ EDGES = (
 )
 
 
-def entities(tables: Tables) -> DataFrame:
-    """Every entity that an award can lead to: entity_kind, entity_id, label and details."""
+def entities(tables: Tables, kinds: Collection[str] = ENTITY_KINDS) -> DataFrame:
+    """Every entity of the given kinds that an award can lead to: entity_kind, entity_id, label and details."""
     null = F.lit(None).cast("string")
 
     def rows(kind: str, source: str, key: str, label: Column, **details: Column) -> DataFrame:
         all_details = {"code": null, "description": null, "idv_agency_id": null, **dict.fromkeys([*PLACE_FIELDS, "granularity"], null), **details}
         return tables[source].select(F.lit(kind).alias("entity_kind"), F.col(key).alias("entity_id"), label.alias("label"), *[c.alias(n) for n, c in all_details.items()])
 
-    own = [
-        rows("recipient", "ref_recipients", "uei", F.col("name")),
-        rows("agency", "ref_agencies", "agency_id", F.col("name")),
-        rows("office", "ref_offices", "office_id", F.col("name")),
-        rows("idv", "ref_idvs", "idv_id", F.col("piid"), idv_agency_id=F.col("award_key_agency_id")),
-        rows("location", "ref_locations", "location_id", null, **{f: F.col(f) for f in (*PLACE_FIELDS, "granularity")}),
-        rows("classification", "ref_classifications", "classification_id", F.coalesce("description", "code"), code=F.col("code"), description=F.col("description")),
-    ]
+    every = {
+        "recipient": lambda: rows("recipient", "ref_recipients", "uei", F.col("name")),
+        "agency": lambda: rows("agency", "ref_agencies", "agency_id", F.col("name")),
+        "office": lambda: rows("office", "ref_offices", "office_id", F.col("name")),
+        "idv": lambda: rows("idv", "ref_idvs", "idv_id", F.col("piid"), idv_agency_id=F.col("award_key_agency_id")),
+        "location": lambda: rows("location", "ref_locations", "location_id", null, **{f: F.col(f) for f in (*PLACE_FIELDS, "granularity")}),
+        "classification": lambda: rows("classification", "ref_classifications", "classification_id", F.coalesce("description", "code"), code=F.col("code"), description=F.col("description")),
+    }
+    own = [make() for kind, make in every.items() if kind in kinds] or [every["recipient"]().where("false")]
     out = own[0]
     for o in own[1:]:
         out = out.unionByName(o)
@@ -169,7 +172,7 @@ def traverse(tables: Tables, selection: DataFrame, include: Collection[str] | No
         edges = [F.struct(*[F.lit(None).cast("string").alias(n) for n in ("entity_kind", "role", "agency_tier", "entity_id")])]
     hops = tables["award_record"].join(selection, "award_id", "left_semi").select(F.inline(F.array(*edges))).where("entity_id is not null")
     hops = hops.groupBy("entity_kind", "role", "entity_id").agg(F.max("agency_tier").alias("agency_tier"))
-    found = hops.join(entities(tables), ["entity_kind", "entity_id"])
+    found = hops.join(entities(tables, kinds), ["entity_kind", "entity_id"])
     place = lambda names, c: F.array_position(F.array(*[F.lit(n) for n in names]), F.col(c))
     order = (place(ENTITY_KINDS, "entity_kind"), F.coalesce(place(ROLES, "role"), F.lit(0)), F.coalesce(place(("toptier", "subtier"), "agency_tier"), F.lit(0)), F.col("entity_id"))
     return found.orderBy(*order)

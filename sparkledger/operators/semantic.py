@@ -30,11 +30,11 @@ def transaction_texts(transactions: DataFrame) -> DataFrame:
 
 
 def projection(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Per award what its document is made of, all of it white-space collapsed."""
+    """Per award what its document is made of, all of it white-space collapsed: names and codes once per row of their tables, before the joins."""
     a = tables["award_record"].select("award_id", "base_description", "recipient_id", "awarding_agency_id", "awarding_sub_agency_id", "naics_id", "psc_id")
 
     def add(df: DataFrame, source: str, key: str, fk: str, **columns: str) -> DataFrame:
-        return df.join(tables[source].select(F.col(key).alias(fk), *[F.col(c).alias(n) for n, c in columns.items()]), fk, "left")
+        return df.join(tables[source].select(F.col(key).alias(fk), *[collapse_space(c).alias(n) for n, c in columns.items()]), fk, "left")
 
     a = add(a, "ref_recipients", "uei", "recipient_id", recipient_name="name")
     a = add(a, "ref_agencies", "agency_id", "awarding_agency_id", agency_name="name")
@@ -42,7 +42,7 @@ def projection(tables: Mapping[str, DataFrame]) -> DataFrame:
     a = add(a, "ref_classifications", "classification_id", "psc_id", psc_code="code", psc_description="description")
     a = add(a, "ref_classifications", "classification_id", "naics_id", naics_code="code", naics_description="description")
     texts = ("base_description", "psc_code", "psc_description", "naics_code", "naics_description", "recipient_name", "agency_name", "sub_agency_name")
-    a = a.select("award_id", *[collapse_space(c).alias(c) for c in texts])
+    a = a.select("award_id", *[collapse_space(c).alias(c) if c == "base_description" else F.col(c) for c in texts])
     return a.join(transaction_texts(tables["transaction_fact"]), "award_id", "left").withColumn("texts", F.coalesce("texts", F.array().cast("array<string>")))
 
 

@@ -36,10 +36,12 @@ def assess(raw: DataFrame) -> DataFrame:
     """Normalised rows with reject_reason, content hash, collision and copy number.
 
     Rows are partitioned by transaction key once. The windows need no frame over
-    the whole key beyond a minimum, a maximum and a running number.
+    the whole key beyond a minimum, a maximum and a running number. Rows with a
+    reason stand by themselves, so those that lack a key gather nowhere.
     """
     rows = normalised(raw).withColumn("reject_reason", reject_reason()).withColumn("_content_hash", content_hash())
-    of_key = Window.partitionBy(KEY, F.col("reject_reason").isNull())
+    sound = F.col("reject_reason").isNull()
+    of_key = Window.partitionBy(F.when(sound, F.col(KEY)), F.when(~sound, F.xxhash64(*LOAD)))
     collides = F.min("_content_hash").over(of_key) != F.max("_content_hash").over(of_key)
     return rows.withColumn("_collides", F.col("reject_reason").isNull() & collides).withColumn("_copy", F.row_number().over(of_key.orderBy("_load_seq")))
 

@@ -294,8 +294,7 @@ def q04(spark: SparkSession, d: str) -> DataFrame:
 @R.add("q05_location_ids", f"select distinct award_id from award_record where recipient_location_id in (select location_id from {LOCATIONS} where state_code = 'VA')")
 def q05(spark: SparkSession, d: str) -> DataFrame:
     t = dataset(spark, d)
-    places = [r[0] for r in t["ref_locations"].where("state_code = 'VA'").select("location_id").collect()]
-    return q.resolve(t, q.PlaceFilter("recipient", location_ids=places))
+    return q.resolve(t, q.PlaceFilter("recipient", location_ids=t["ref_locations"].where("state_code = 'VA'").select("location_id")))
 
 
 @R.add("q06_location_struct", f"select distinct award_id from award_record where place_of_performance_id in (select location_id from {LOCATIONS} where country_code = 'USA' and state_code = 'NV')")
