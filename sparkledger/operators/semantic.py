@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,6 +147,54 @@ def index_faults(index: DataFrame, dim: int) -> DataFrame:
     )
 
 
+def misnumbered(index: DataFrame, key: str = "award_id") -> DataFrame:
+    """Rows whose row_index isn't their number from 0 in the order of the key."""
+    return row_numbers(index.select(F.col(key), F.col("row_index").alias("_stated")), key).where(~F.col("_stated").eqNullSafe(F.col("row_index").cast("long")))
+
+
+def top_k_each(vectors: DataFrame, queries: DataFrame, k: int, id_column: str = "award_id", vector: str = "embedding", block: int = 4096) -> DataFrame:
+    """The k vectors of the highest dot product with every query: query_id, id, score; ties by id.
+
+    Queries (the same columns; null vectors ask nothing) come in blocks of
+    ``block``, a bounded broadcast each. A pass over the vectors compares one
+    block and keeps k rows per query and batch; the best of these are merged per
+    query. A query finds itself if it is among the vectors.
+    """
+    if k <= 0:
+        raise ValueError("k must be positive")
+    spark, kind = vectors.sparkSession, vectors.schema[id_column].dataType.simpleString()
+    rows = vectors.select(F.col(id_column).alias("id"), F.col(vector).cast("array<double>").alias("vec")).where("id is not null and vec is not null")
+
+    def passed(ids: list, asked: np.ndarray) -> DataFrame:
+        shared = spark.sparkContext.broadcast((ids, asked))
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, asked = shared.value
+            for b in batches:
+                own = b.column(0)
+                order = np.argsort(np.asarray(own.to_pylist(), dtype=object if pa.types.is_string(own.type) else None), kind="stable")
+                scores = asked @ np.asarray(b.column(1).flatten()).reshape(b.num_rows, -1)[order].T
+                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                q = np.repeat(np.arange(len(ids)), best.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, own.type).take(pa.array(q)), own.take(pa.array(order[best.ravel()])), pa.array(scores[q, best.ravel()])], names=["query_id", "id", "score"])
+
+        return rows.mapInArrow(compare, f"query_id {kind}, id {kind}, score double")
+
+    parts, ids, asked = [], [], []
+    for r in queries.select(id_column, vector).where(F.col(vector).isNotNull() & F.col(id_column).isNotNull()).toLocalIterator():
+        ids.append(r[0])
+        asked.append(r[1])
+        if len(ids) == block:
+            parts.append(passed(ids, np.array(asked, dtype=np.float64)))
+            ids, asked = [], []
+    if ids:
+        parts.append(passed(ids, np.array(asked, dtype=np.float64)))
+    if not parts:
+        return spark.createDataFrame([], f"query_id {kind}, id {kind}, score double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return reduce(DataFrame.unionByName, parts).withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
+
+
 def row_numbers(docs: DataFrame, key: str = "award_id") -> DataFrame:
     """Documents numbered from 0 by key without one task that sorts them all.
 

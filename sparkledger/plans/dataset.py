@@ -6,13 +6,13 @@ import secrets
 from collections.abc import Collection
 from dataclasses import dataclass
 from datetime import date
-from pathlib import Path
 from typing import Self
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkledger.operators import query as q
+from sparkledger.sources.files import SharedPath, shared
 from sparkledger.sources.published import open_set
 
 
@@ -32,15 +32,15 @@ class Selection:
 class ProcurementSession:
     """Pinned to the set that CURRENT named when it was opened."""
 
-    def __init__(self, run_id: str, tables: dict[str, DataFrame], root: Path) -> None:
+    def __init__(self, run_id: str, tables: dict[str, DataFrame], root: SharedPath) -> None:
         self.run_id, self.tables, self.root = run_id, tables, root
         self.session_id = secrets.token_hex(8)
         self._held: list[DataFrame] = []
         self._open = True
 
     @classmethod
-    def open(cls, spark: SparkSession, root: str | Path) -> Self:
-        return cls(*open_set(spark, root), Path(root))
+    def open(cls, spark: SparkSession, root: str | SharedPath) -> Self:
+        return cls(*open_set(spark, root), shared(spark, root))
 
     def __enter__(self) -> Self:
         return self

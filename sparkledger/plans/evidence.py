@@ -46,6 +46,7 @@ class EvidenceSession:
         self.cards: dict[str, dict] = {}
         self.hits: list[dict] = []
         self.totals: list[dict] = []
+        self.traversals: list[dict] = []
         self._token = secrets.token_hex(4)
 
     def _keep(self, s: Selection) -> str:
@@ -71,7 +72,7 @@ class EvidenceSession:
         hits = [public(r.asDict()) for r in self.index.search(text, k, min_score, within).collect()]
         self.hits += [{"query": text, **h} for h in hits]
         s = self.session.select([h["award_id"] for h in hits])
-        return {"selection": self._keep(s), "count": s.count, "hits": hits}
+        return {"selection": self._keep(s), "count": s.count, "hits": hits, **self.index.counts(within)}
 
     def resolve(self, preview: int | None = None, place: q.PlaceFilter | None = None, **ids: Collection[str] | None) -> dict:
         n = clamp("cards", preview)
@@ -85,9 +86,11 @@ class EvidenceSession:
         return {"rows": rows}
 
     def traverse(self, ref: str, include: Collection[str] | None = None, limit: int | None = None) -> dict:
-        """The first entities in order, and whether there are more."""
+        """The first entities in order, and whether there are more. All of them are kept as evidence, as a relation."""
         n = clamp("traversal", limit)
-        rows = self.session.traverse(self._of(ref), include).limit(n + 1).collect()
+        entities = self.session.traverse(self._of(ref), include)
+        rows = entities.limit(n + 1).collect()
+        self.traversals.append({"selection": ref, "entities": entities})
         return {"entities": [public(r.asDict()) for r in rows[:n]], "truncated": len(rows) > n}
 
     def evidence(self, ref: str | None = None, award_ids: Collection[str] | None = None, limit: int | None = None) -> dict:
@@ -108,4 +111,5 @@ class EvidenceSession:
 
     def close(self) -> None:
         self.session.close()
-        self.selections.clear()
+        for kept in (self.selections, self.cards, self.hits, self.totals, self.traversals):
+            kept.clear()

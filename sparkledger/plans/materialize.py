@@ -6,12 +6,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkledger.operators import star, validate
 from sparkledger.operators.integrity import check_integrity, messages
 from sparkledger.sources import published
+from sparkledger.sources.files import SharedPath, remove, shared
 from sparkledger.sources.projected import load_projected
 
 
@@ -24,7 +24,7 @@ class Materialized:
     """What a run made: counts of rows, where the set is, and whether CURRENT points to it."""
 
     run_id: str
-    path: Path
+    path: SharedPath
     rows_in: int
     invalid: int
     collision: int
@@ -38,15 +38,19 @@ def _sound(tables: dict[str, DataFrame]) -> None:
         raise IntegrityError("; ".join(faults))
 
 
-def materialize(spark: SparkSession, files: Sequence[str | Path], root: str | Path, allow_rejects: bool = False, run_id: str | None = None) -> Materialized:
+def materialize(spark: SparkSession, files: Sequence[str | Path], root: str | SharedPath, allow_rejects: bool = False, run_id: str | None = None) -> Materialized:
     """Load, validate, reduce, check and publish.
 
     Rows that fail validation are kept as rejects of the set; unless
     ``allow_rejects``, the set is then written but CURRENT stays where it was.
-    Assessed rows are computed once and shared by all tables.
+    Assessed rows are written once under ``root``/staging and shared by all
+    tables; they go when the set is written and stay for inspection if it fails.
     """
     run = run_id or published.new_run_id()
-    assessed = validate.assess(load_projected(spark, files)).persist(StorageLevel.MEMORY_AND_DISK)
+    root = shared(spark, root)
+    staging = root / "staging" / run
+    validate.assess(load_projected(spark, files)).write.parquet(str(staging))
+    assessed = spark.read.parquet(str(staging))
     try:
         n = validate.counts(assessed).first().asDict()
         rejected = n["invalid"] + n["collision"]
@@ -54,6 +58,8 @@ def materialize(spark: SparkSession, files: Sequence[str | Path], root: str | Pa
         flip = allow_rejects or not rejected
         if flip:
             published.write_current(root, run)
-        return Materialized(run, path, **n, published=flip)
-    finally:
-        assessed.unpersist()
+    except BaseException as e:
+        e.add_note(f"the staged rows are kept in {staging}")
+        raise
+    remove(staging)
+    return Materialized(run, path, **n, published=flip)

@@ -472,6 +472,16 @@ def s12(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(semantic.top_k(e, _query_vector(spark, d), 50, "vec_id", candidates=e.where("label = 3")))
 
 
+@R.add("s16_topk_every", """
+with x as (select vec_id, embedding::double[] as v from embeddings)
+select q.vec_id as query_id, x.vec_id as id, round(list_dot_product(q.v, x.v), 6) as score from x q join x on q.vec_id % 50 = 0
+qualify row_number() over (partition by q.vec_id order by list_dot_product(q.v, x.v) desc, x.vec_id) <= 10""")
+def s16(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector whose id is divisible by 50, asked of all vectors."""
+    e = table(spark, d, "embeddings")
+    return semantic.top_k_each(e, e.where("vec_id % 50 = 0"), 10, "vec_id").select("query_id", "id", F.round("score", 6).alias("score"))
+
+
 @R.add("s13_index_validation", "select count(*) as n_documents, count(*) - count(distinct vec_id) as n_repeated, count(*) filter (where embedding is null) as n_null, count(*) filter (where len(embedding) <> 64) as n_wrong_length, count(*) filter (where abs(sqrt(list_dot_product(embedding::double[], embedding::double[])) - 1) > 1e-3) as n_not_unit from embeddings")
 def s13(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("award_id"), F.lit("").alias("text"), "embedding")

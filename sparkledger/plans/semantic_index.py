@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import json
-import os
-import shutil
 from dataclasses import asdict, dataclass
-from pathlib import Path
 
 from pyspark.sql import DataFrame
 
 from sparkledger.operators import semantic
 from sparkledger.plans.dataset import ProcurementSession
+from sparkledger.sources.files import SharedPath, place, remove
 
 
 class IndexError_(RuntimeError):
@@ -31,8 +29,8 @@ class IndexInfo:
     documents: int
 
 
-def folder(root: str | Path, run_id: str) -> Path:
-    return Path(root) / "semantic" / run_id
+def folder(root: str | SharedPath, run_id: str) -> SharedPath:
+    return place(root) / "semantic" / run_id
 
 
 def build_index(session: ProcurementSession, embedder: semantic.Embedder, dim: int, model_id: str, revision: str = "1", force: bool = False, budget: int = semantic.TEXT_BUDGET) -> IndexInfo:
@@ -42,24 +40,24 @@ def build_index(session: ProcurementSession, embedder: semantic.Embedder, dim: i
         raise IndexError_(f"{target} is there already")
     tmp, old = target.with_name(f".tmp-{target.name}"), target.with_name(f".old-{target.name}")
     for p in (tmp, old):
-        shutil.rmtree(p, ignore_errors=True)
+        remove(p)
     try:
-        docs = semantic.embed(semantic.documents(session.tables, budget), embedder, dim)
+        docs = semantic.row_numbers(semantic.embed(semantic.documents(session.tables, budget), embedder, dim))
         docs.write.parquet(str(tmp / "documents.parquet"))
         n = check_index(docs.sparkSession.read.parquet(str(tmp / "documents.parquet")), dim)
         info = IndexInfo(session.run_id, model_id, revision, dim, "cosine", semantic.QUERY_PREFIX, n)
         (tmp / "metadata.json").write_text(json.dumps(asdict(info), indent=2, sort_keys=True))
         if target.exists():
-            os.rename(target, old)
+            target.rename(old)
         try:
-            os.rename(tmp, target)
+            tmp.rename(target)
         except BaseException:
             if old.exists():
-                os.rename(old, target)
+                old.rename(target)
             raise
     finally:
-        shutil.rmtree(tmp, ignore_errors=True)
-    shutil.rmtree(old, ignore_errors=True)
+        remove(tmp)
+    remove(old)
     return info
 
 
@@ -68,6 +66,8 @@ def check_index(index: DataFrame, dim: int) -> int:
     row = semantic.index_faults(index, dim).first().asDict()
     n = row.pop("n_documents")
     faults = [f"{k}={v}" for k, v in row.items() if v]
+    if wrong := semantic.misnumbered(index).count():
+        faults.append(f"n_misnumbered={wrong}")
     if not n:
         faults.append("it has no document")
     if faults:
@@ -92,11 +92,19 @@ class SemanticIndex:
         except (ValueError, TypeError) as e:
             raise IndexError_(f"the metadata of {where} can't be read") from e
         numbers_ok = all(isinstance(x, int) and not isinstance(x, bool) for x in (info.dim, info.documents))
+        if (info.metric, info.query_prefix) != ("cosine", semantic.QUERY_PREFIX):
+            raise IndexError_(f"the index is by {info.metric} with the prefix {info.query_prefix!r}")
         if not numbers_ok or (info.run_id, info.model_id, info.revision, info.dim) != (session.run_id, model_id, revision, dim):
             raise IndexError_(f"the index is for {info.model_id}/{info.revision}, {info.dim} wide, of {info.run_id}")
         tables = next(iter(session.tables.values())).sparkSession
         return cls(tables.read.parquet(str(where / "documents.parquet")), info, embedder)
 
+    def counts(self, candidates: DataFrame | None = None) -> dict[str, int]:
+        """How many documents are indexed, and how many of the candidates are among them (all, without any)."""
+        if candidates is None:
+            return {"indexed": self.info.documents, "candidates": self.info.documents}
+        return {"indexed": self.info.documents, "candidates": self.docs.join(candidates.select("award_id").distinct(), "award_id", "left_semi").count()}
+
     def search(self, text: str, k: int = 50, min_score: float | None = None, candidates: DataFrame | None = None) -> DataFrame:
         """award_id, score, document_id and text of the best documents; the text is fetched for these alone."""
         if not text.strip():

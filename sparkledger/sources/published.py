@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import os
 import re
 import secrets
-import shutil
 from collections.abc import Callable, Mapping
 from datetime import UTC, datetime
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkledger.operators.star import KEYS
+from sparkledger.sources.files import SharedPath, place, remove, shared
 
 RUN_ID = re.compile(r"\d{8}T\d{6}Z_[0-9a-f]{6}")
 # Where each table lies in a set.
@@ -41,27 +39,27 @@ def new_run_id(when: datetime | None = None, suffix: str | None = None) -> str:
     return run
 
 
-def set_path(root: str | Path, run: str) -> Path:
+def set_path(root: str | SharedPath, run: str) -> SharedPath:
     if not RUN_ID.fullmatch(run):
         raise ValueError(f"not a run id: {run}")
-    return Path(root) / "sets" / run
+    return place(root) / "sets" / run
 
 
-def read_current(root: str | Path) -> str | None:
-    p = Path(root) / "CURRENT"
+def read_current(root: str | SharedPath) -> str | None:
+    p = place(root) / "CURRENT"
     return (p.read_text().strip() or None) if p.is_file() else None
 
 
-def write_current(root: str | Path, run: str) -> None:
+def write_current(root: str | SharedPath, run: str) -> None:
     """Point to a set; readers see the old pointer or the new one, never a part."""
     if not set_path(root, run).is_dir():
         raise ValueError(f"there is no set {run}")
-    tmp = Path(root) / f".CURRENT.{run}.tmp"
+    tmp = place(root) / f".CURRENT.{run}.tmp"
     tmp.write_text(run + "\n")
-    os.replace(tmp, Path(root) / "CURRENT")
+    tmp.replace(place(root) / "CURRENT")
 
 
-def write_set(root: str | Path, run: str, tables: Mapping[str, DataFrame], rejects: DataFrame | None = None, check: Callable[[dict[str, DataFrame]], None] | None = None) -> Path:
+def write_set(root: str | SharedPath, run: str, tables: Mapping[str, DataFrame], rejects: DataFrame | None = None, check: Callable[[dict[str, DataFrame]], None] | None = None) -> SharedPath:
     """Write all tables aside, then move them into place at once; a set is never written twice.
 
     ``check`` is given the tables as written, before the move; if it raises,
@@ -71,7 +69,7 @@ def write_set(root: str | Path, run: str, tables: Mapping[str, DataFrame], rejec
     if target.exists():
         raise ValueError(f"set {run} is there already")
     tmp = target.parent / f".tmp-{run}"
-    shutil.rmtree(tmp, ignore_errors=True)
+    remove(tmp)
     try:
         for name, file in FILES.items():
             tables[name].write.parquet(str(tmp / file))
@@ -80,15 +78,16 @@ def write_set(root: str | Path, run: str, tables: Mapping[str, DataFrame], rejec
         if check is not None:
             spark = next(iter(tables.values())).sparkSession
             check({name: spark.read.parquet(str(tmp / file)) for name, file in FILES.items()})
-        os.rename(tmp, target)
+        tmp.rename(target)
     except BaseException:
-        shutil.rmtree(tmp, ignore_errors=True)
+        remove(tmp)
         raise
     return target
 
 
-def open_set(spark: SparkSession, root: str | Path) -> tuple[str, dict[str, DataFrame]]:
+def open_set(spark: SparkSession, root: str | SharedPath) -> tuple[str, dict[str, DataFrame]]:
     """The run id that CURRENT names, and its tables at their own paths: a later pointer doesn't move them."""
+    root = shared(spark, root)
     run = read_current(root)
     if run is None:
         raise NoCurrentSet(f"{root} has no current set")

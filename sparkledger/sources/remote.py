@@ -78,7 +78,8 @@ class HttpService:
                 last = e
             if attempt < self.tries:
                 self.sleep(self.pause * attempt)
-        raise TransientError(f"{url}: {last}") from last
+        # only a service that says it is too busy is asked for less; an outage is not
+        raise (TransientError if isinstance(last, urllib.error.HTTPError) else RemoteError)(f"{url}: {last}") from last
 
     def _json(self, url: str, body: Mapping[str, Any] | None = None) -> dict[str, Any]:
         with self._open(url, body) as r:

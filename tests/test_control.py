@@ -106,6 +106,12 @@ def test_http(tmp_path):
     assert s.count(D, D) == 7 and waits == [2.0]
     with pytest.raises(TransientError):
         service([504] * 5)[0].count(D, D)
+    def down(request, timeout):
+        raise urllib.error.URLError("no route")
+
+    with pytest.raises(RemoteError) as e:  # an outage is no reason to ask for less
+        HttpService("http://service.invalid", lambda a, b: {}, sleep=lambda _: None, opener=down).count(D, D)
+    assert not isinstance(e.value, TransientError)
     for bad in ([404], [{"calculated_count": True}], [b"no json"], [[1]]):
         with pytest.raises(RemoteError):
             service(bad)[0].count(D, D)

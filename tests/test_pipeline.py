@@ -7,6 +7,7 @@ from datetime import date
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkledger.operators import query as q
 from sparkledger.operators import semantic
@@ -104,7 +105,8 @@ def test_failed_write_leaves_no_trace(spark, tmp_path, monkeypatch):
     a = write(tmp_path / "a.csv", [{}])
     monkeypatch.setitem(published.FILES, "ref_idvs", "refs/\0bad.parquet")
     with pytest.raises(Exception):  # noqa: B017
-        m.materialize(spark, [a], tmp_path)
+        m.materialize(spark, [a], tmp_path, run_id="20260102T000000Z_abcdef")
+    assert spark.read.parquet(str(tmp_path / "staging" / "20260102T000000Z_abcdef")).count() == 1  # kept for inspection
     assert not [p for p in (tmp_path / "sets").iterdir()] and published.read_current(tmp_path) is None
 
 
@@ -195,6 +197,9 @@ def test_semantic_index(session):
     hits = index.search("radar repair", 2).collect()
     assert hits[0]["award_id"] == "A1" and "- Radar repair" in hits[0]["text"] and "radar  repair" not in hits[0]["text"]
     assert [r["award_id"] for r in index.search("radar repair", 5, candidates=session.select(["A2", "A4"]).award_ids).collect()] == ["A2"]
+    assert index.counts() == {"indexed": 3, "candidates": 3} and index.counts(session.select(["A2", "A4"]).award_ids) == {"indexed": 3, "candidates": 1}
+    assert [(r["award_id"], r["row_index"]) for r in index.docs.orderBy("row_index").collect()] == [("A1", 0), ("A2", 1), ("A3", 2)]
+    assert semantic.misnumbered(index.docs.withColumn("row_index", F.expr("row_index + if(award_id = 'A2', 1, 0)"))).count() == 1
     for bad in ("  ", ""):
         with pytest.raises(ValueError):
             index.search(bad)
@@ -230,6 +235,8 @@ def test_evidence_and_enrichment(session):
     r = e.resolve(preview=2, recipient_ids=["UEI_ALPHA"])
     assert r["count"] == 2 and [c["award_id"] for c in r["preview"]] == ["A1", "A3"] and set(e.cards) == {"A1", "A3"}
     assert e.traverse(r["selection"], limit=1)["truncated"]
+    (kept,) = e.traversals  # whole, though the view shows one
+    assert kept["selection"] == r["selection"] and kept["entities"].count() > 1
     assert [c["award_id"] for c in e.evidence(award_ids=["A4", "NO", "A1"])["cards"]] == ["A4", "A1"]
     for bad in ({}, {"ref": r["selection"], "award_ids": []}, {"award_ids": [str(i) for i in range(51)]}):
         with pytest.raises(ValueError):
@@ -242,3 +249,29 @@ def test_evidence_and_enrichment(session):
     assert enrich(session, "awards", "A4", d)[1] and d.calls == 1 and evict(session.root, "awards", "A4")
     with pytest.raises(KeyError):
         enrich(session, "awards", "NO", d)
+
+
+def test_sets_on_a_hadoop_file_system(spark, tmp_path):
+    """The same pipeline through Spark's file systems: published, pinned, indexed, replaced."""
+    from sparkledger.sources.files import HadoopPath, shared
+
+    root = f"file://{tmp_path}/out"
+    a = write(tmp_path / "a.csv", [{"transaction_description": "Radar repair"}])
+    done = m.materialize(spark, [a], root)
+    assert done.published and isinstance(done.path, HadoopPath) and not (shared(spark, root) / "staging" / done.run_id).exists()
+    again = m.materialize(spark, [a], root)
+    assert published.read_current(shared(spark, root)) == again.run_id != done.run_id
+    with ProcurementSession.open(spark, root) as s:
+        embedder = semantic.hashed_embedder(64)
+        assert s.run_id == again.run_id and build_index(s, embedder, 64, "hash").documents == build_index(s, embedder, 64, "hash", force=True).documents == 1
+        assert SemanticIndex.open(s, embedder, 64, "hash").counts()["indexed"] == 1
+    with pytest.raises(published.NoCurrentSet):
+        ProcurementSession.open(spark, f"file://{tmp_path}/nowhere")
+    p = shared(spark, root) / "x.txt"
+    p.write_text("grüße")
+    assert p.read_text() == "grüße" and p.is_file() and p.parent.is_dir() and (p.name, str(p.with_name("y"))) == ("x.txt", f"{root}/y")
+    with pytest.raises(OSError):
+        p.rename(p)
+    p.unlink()
+    with pytest.raises(FileNotFoundError):
+        p.unlink()
