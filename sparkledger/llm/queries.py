@@ -77,10 +77,13 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 CAPACITY = 4096
 
 
-def _packed(spark: SparkSession, d: str) -> DataFrame:
-    import public_tokenizers as public
+def _packed(spark: SparkSession, d: str, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
+    """Documents packed by the tokens of a vocabulary file and its pattern; without them by those of the public tokenizers at hand."""
+    if vocabulary is None or pattern is None:
+        import public_tokenizers as public
 
-    docs = token_counts(table(spark, d, "documents"), "doc_id", "text", public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+        vocabulary, pattern = vocabulary or public.path("byte_bpe_50k.tiktoken"), pattern or public.PATTERN
+    docs = token_counts(table(spark, d, "documents"), "doc_id", "text", vocabulary, pattern)
     return pack(cut(docs), F.col("item"), F.col("n_tokens"), CAPACITY)
 
 
@@ -111,19 +114,21 @@ def p9_scores(spark: SparkSession, d: str) -> DataFrame:
     return _leaked(spark, d, 0.5).where("share >= 0.5 or longest_run >= 13")
 
 
-@R.add("p4_found", """
+NEAREST_SQL = """
 with unit as (
   select doc_id, v, sqrt(list_dot_product(v, v)) as n from (select doc_id, vec::double[] as v from doc_vectors where len(vec) = 64) where list_dot_product(v, v) > 0
 ), pairs as (
   select a.doc_id as a, b.doc_id as b, round(list_dot_product(a.v, b.v) / (a.n * b.n), 6) as s from unit a join unit b on a.doc_id <> b.doc_id
-), best as (select * from pairs where s >= 0.9 qualify row_number() over (partition by a order by s desc, b) <= 5)
-select distinct least(a, b) as doc_id_a, greatest(a, b) as doc_id_b from best""")
+), best as (select *, row_number() over (partition by a order by s desc, b) as place from pairs where s >= 0.9 qualify place <= 5)"""
+
+
+@R.add("p4_found", f"{NEAREST_SQL} select distinct least(a, b) as doc_id_a, greatest(a, b) as doc_id_b from best")
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     near = nearest(table(spark, d, "doc_vectors"), F.col("doc_id"), F.col("vec"))
     return near.select(F.least("id", "other").alias("doc_id_a"), F.greatest("id", "other").alias("doc_id_b")).distinct()
 
 
-@R.add("p4_neighbours")
+@R.add("p4_neighbours", f"{NEAREST_SQL} select a as doc_id, place, b as neighbour_id, s as cosine, award_id as neighbour_award_id from best join (select doc_id as b, award_id from doc_vectors) using (b)")
 def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The five nearest of every document, with the award that the neighbour stands for."""
     vectors = table(spark, d, "doc_vectors")
