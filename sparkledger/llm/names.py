@@ -159,7 +159,10 @@ def spelling(name: str) -> str:
     in known words are mended, a known word stuck to another is cut off, and a
     nickname stands for every name it is short for.
     """
-    plain = "".join(c for c in unicodedata.normalize("NFKD", name.upper()) if not unicodedata.combining(c)).replace(".", "").replace("'", "")
+    plain = name.upper()
+    if not plain.isascii():
+        plain = "".join(c for c in unicodedata.normalize("NFKD", plain) if not unicodedata.combining(c))
+    plain = plain.replace(".", "").replace("'", "")
     plain = re.sub(r"\bL L ?C\b", "LLC", re.sub(r"\bL L ?P\b", "LLP", plain))
     typed = [t.translate(_DIGITS) if len(t) >= 3 and not t.isdigit() else t for t in re.findall(r"[^\W_]+", plain)]
     known = lambda t: t in SHORT_FORMS or t in LEGAL or t in NOISE or t in _GIVEN
@@ -242,6 +245,7 @@ def same(a: str, b: str) -> bool:
 def near(members: list[str]) -> Iterator[tuple[str, str, int]]:
     """Pairs of one block's nodes that agree beside the core, with the edits between their cores."""
     split = [m.rsplit("|", 1) for m in members]
+    letters = [sum(1 << c for c in {ord(c) & 63 for c in core}) for _, core in split]
     pairs: Iterator[tuple[int, int]] = combinations(range(len(members)), 2)
     if len(members) > CROWD:
         index: dict[tuple[str, str], list[int]] = {}
@@ -250,6 +254,9 @@ def near(members: list[str]) -> Iterator[tuple[str, str, int]]:
                 index.setdefault((beside, d), []).append(i)
         pairs = iter({p for own in index.values() for p in combinations(own, 2)})
     for i, j in pairs:
+        # an edit brings at most one letter and takes at most one away
+        if (letters[i] ^ letters[j]).bit_count() > 4:
+            continue
         (a, x), (b, y) = split[i], split[j]
         limit = min(reach(x), reach(y))
         if a == b and limit and (d := distance(x, y, limit)) <= limit:
