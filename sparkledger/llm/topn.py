@@ -2,12 +2,13 @@
 
 Each input partition is a run: sorted by group and order, and cut to the first
 N of every group while it is read, seeking over the rest. The cut runs are
-stored by bucket, and a loser tree merges a bucket's runs, seeking every run to
-its next group once N items are out.
+stored by bucket, group by group, and a loser tree merges a group's runs until
+N items are out; all its runs then stand at the next group.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -72,9 +73,7 @@ def merge_runs(runs: list[list[tuple]], n: int) -> Iterator[tuple[int, int, int]
             yield i, at[i], out
             at[i] += 1
         else:
-            run = runs[i]
-            while at[i] < len(run) and run[at[i]][0] == group:
-                at[i] += 1
+            at[i] = bisect_right(runs[i], group, at[i], key=lambda x: x[0])
         tree.replace(runs[i][at[i]] if at[i] < len(runs[i]) else None)
 
 
@@ -93,9 +92,8 @@ def top_n(df: DataFrame, group: Column, orders: Sequence[tuple[str, Column, bool
     enough orders for a total order where the choice matters. A null group is a
     group of its own; an empty input gives no rows; ``n`` must be positive.
 
-    Memory: a task of the merge holds its bucket's cut runs, at most ``n`` rows
-    per group and run. A hot group thus costs ``n`` rows per input partition,
-    however many rows it has.
+    Memory: the merge streams; a task holds a batch and one group's cut runs, at
+    most ``n`` rows per input partition, however many rows the group has.
     """
     if n < 1:
         raise ValueError("n must be positive")
@@ -121,30 +119,63 @@ def top_n(df: DataFrame, group: Column, orders: Sequence[tuple[str, Column, bool
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(np.full(kept.num_rows, run, dtype=np.int32))], names=[*kept.schema.names, "_run"])
 
     runs = rows.sortWithinPartitions(*sorts).mapInArrow(cut_run, run_schema)
-    stored = runs.repartition("group").sortWithinPartitions("_run", *sorts)
+    stored = runs.repartition("group").sortWithinPartitions(sorts[0], "_run", *sorts[1:])
     out_schema = T.StructType([*rows.schema.fields, T.StructField("place", T.LongType())])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = pa.Table.from_batches(batches) if (batches := list(batches)) else None
-        if whole is None or not whole.num_rows:
-            return
-        keys = [[(v is not None, v) for v in whole.column(0).to_pylist()]]
-        for i, desc in enumerate(down, 1):
-            keys.append([(v is None, _Down(v) if desc and v is not None else v) for v in _comparable(whole.column(i))])
-        tuples = list(zip(*keys, strict=True))
-        run = np.asarray(whole.column("_run"))
-        begin = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
-        end = np.r_[begin[1:], len(run)]
-        picked, places = [], []
-        for r, at, place in merge_runs([tuples[a:b] for a, b in zip(begin, end, strict=True)], n):
-            picked.append(begin[r] + at)
-            places.append(place)
-        out = whole.drop_columns(["_run"]).take(pa.array(picked, pa.int64()))
-        yield from out.append_column("place", pa.array(places, pa.int64())).combine_chunks().to_batches()
+        left: list[pa.RecordBatch] = []  # the last group so far may go on
+        for b in _then_none(batches):
+            if b is not None:
+                if not b.num_rows:
+                    continue
+                left.append(b)
+                if left[0].column(0)[0].as_py() == b.column(0)[-1].as_py():
+                    continue
+            if not left:
+                continue
+            whole = pa.Table.from_batches(left).combine_chunks()
+            codes = np.asarray(whole.column(0).combine_chunks().dictionary_encode(null_encoding="encode").indices)
+            begin = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+            done = len(codes) if b is None else int(begin[-1])
+            left = [] if b is None else whole.slice(done).to_batches()
+            if done:
+                yield from _merged(whole.slice(0, done), begin[begin < done], down, n)
 
     return stored.mapInArrow(merge, out_schema)
 
 
+def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def _merged(whole: pa.Table, begin: np.ndarray, down: Sequence[bool], n: int) -> Iterator[pa.RecordBatch]:
+    """The first ``n`` of every group of rows sorted by group, run and order; a group that is one run is in order already."""
+    run = np.asarray(whole.column("_run"))
+    end = np.r_[begin[1:], len(run)]
+    size = end - begin
+    place = np.arange(len(run)) - np.repeat(begin, size)
+    several = run[begin] != run[end - 1]
+    alone = np.flatnonzero(~np.repeat(several, size) & (place < n))
+    picked, places = [alone], [place[alone] + 1]
+    rows = np.flatnonzero(np.repeat(several, size))
+    if len(rows):
+        part = whole.take(pa.array(rows))
+        keys = [[(v is None, _Down(v) if desc and v is not None else v) for v in _comparable(part.column(i))] for i, desc in enumerate(down, 1)]
+        tuples = list(zip(np.repeat(np.flatnonzero(several), size[several]).tolist(), *keys, strict=True))
+        lo = 0
+        for g in np.flatnonzero(several):
+            own = run[begin[g] : end[g]]
+            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            last = np.r_[first[1:], len(own)]
+            for r, at, no in merge_runs([tuples[lo + x : lo + y] for x, y in zip(first, last, strict=True)], n):
+                picked.append(begin[g : g + 1] + first[r] + at)
+                places.append(np.array([no]))
+            lo += len(own)
+    out = whole.drop_columns(["_run"]).take(pa.array(np.concatenate(picked)))
+    yield from out.append_column("place", pa.array(np.concatenate(places).astype(np.int64))).combine_chunks().to_batches()
+
+
 class _Down:
     """Reverses the order of the value it holds."""
 

@@ -23,7 +23,17 @@ def test_merge_against_sorting(runs, n):
     assert got == want
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("batch", [10_000, 3])
+def test_against_brute_force(spark, batch):
+    """Groups may end anywhere in the batches that the merge gets."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        against_brute_force(spark)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def against_brute_force(spark):
     rng = random.Random(3)
     rows = [(rng.choice(["hot"] * 6 + ["a", "b", "ü", None, ""]), rng.choice([date(2024, 1, 1 + rng.randrange(5)), None]), rng.choice(["k", "K", "é", "z", None]) and f"{rng.choice('kKéz')}{i}", 1, 2) for i in range(800)]
     df = spark.createDataFrame(rows, "g string, d date, t string, place int, _run int").repartition(7)
