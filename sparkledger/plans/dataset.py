@@ -63,6 +63,11 @@ class ProcurementSession:
             raise StaleSelection("the selection is of another session")
         return s.award_ids
 
+    @staticmethod
+    def _none_of(s: Selection, found: DataFrame) -> DataFrame:
+        """An empty selection has nothing behind it: the plan is an empty relation, and no job runs."""
+        return found if s.count else found.limit(0)
+
     def _hold(self, ids: DataFrame) -> Selection:
         ids = ids.persist(StorageLevel.MEMORY_AND_DISK)
         self._held.append(ids)
@@ -82,10 +87,10 @@ class ProcurementSession:
     def activity(self, s: Selection, start: date, end: date, by: str = "award", limit: int | None = None) -> DataFrame:
         if by not in ("award", "recipient"):
             raise ValueError(f"activity is by award or recipient, not {by}")
-        return (q.activity_by_award if by == "award" else q.activity_by_recipient)(self.tables, self._own(s), start, end, limit)
+        return self._none_of(s, (q.activity_by_award if by == "award" else q.activity_by_recipient)(self.tables, self._own(s), start, end, limit))
 
     def traverse(self, s: Selection, include: Collection[str] | None = None) -> DataFrame:
-        return q.traverse(self.tables, self._own(s), include)
+        return self._none_of(s, q.traverse(self.tables, self._own(s), include))
 
     def cards(self, s: Selection) -> DataFrame:
-        return q.cards(self.tables, self._own(s))
+        return self._none_of(s, q.cards(self.tables, self._own(s)))

@@ -93,7 +93,8 @@ def complete(csv: Path, manifest: Path) -> bool:
 def ingest(spark: SparkSession, service: Downloads, start: date, end: date, root: str | Path, load: bool = True, allow_rejects: bool = False, cap: int = ROW_CAP) -> Materialized | None:
     """Download a period and, unless told not to, build and publish a set of it.
 
-    The plan and a manifest per shard are kept under ``root``/ingest, so that a
+    The plan, with filters, counts and checksums by shard, and a manifest per
+    shard are kept under ``root``/ingest on this machine, so that a
     run that broke off goes on with what is missing. A shard of several days
     whose download fails is halved. The job counts as materialized only if the
     set was published. Without any record there is nothing to build: None.
@@ -105,8 +106,14 @@ def ingest(spark: SparkSession, service: Downloads, start: date, end: date, root
     else:
         shards = plan_shards(service, start, end, cap)
 
+    filters = getattr(service, "filters", None)
+    told = {"filters": filters(start, end)} if callable(filters) else {}
+    got: dict[str, dict[str, Any]] = {}
+
     def note(status: str, run: str | None = None) -> None:
-        write_json(plan, {"status": status, "run_id": run, "shards": [[str(s.start), str(s.end), s.expected] for s in sorted(shards)]})
+        counts = {"shards": len(shards), "complete": len(got), "expected": sum(s.expected or 0 for s in shards), "rows": sum(m["rows"] for m in got.values())}
+        files = {name: {k: m.get(k) for k in ("rows", "sha256", "source")} for name, m in sorted(got.items())}
+        write_json(plan, {"status": status, "run_id": run, **told, "counts": counts, "files": files, "shards": [[str(s.start), str(s.end), s.expected] for s in sorted(shards)]})
 
     note("downloading")
     files, todo = [], list(shards)
@@ -126,7 +133,8 @@ def ingest(spark: SparkSession, service: Downloads, start: date, end: date, root
                 note("downloading")
                 todo[:0] = parts
                 continue
-            write_json(manifest, {"start": str(s.start), "end": str(s.end), "rows": rows, "sha256": digest(csv), "retrieved_at": datetime.now(UTC).isoformat()})
+            write_json(manifest, {"start": str(s.start), "end": str(s.end), "expected": s.expected, "rows": rows, "sha256": digest(csv), "bytes": csv.stat().st_size, "source": getattr(service, "base", None), "retrieved_at": datetime.now(UTC).isoformat()})
+        got[s.name] = json.loads(manifest.read_text())
         files.append(csv)
     note("acquired")
     if not load or not files:

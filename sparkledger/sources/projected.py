@@ -35,21 +35,33 @@ def load_projected(spark: SparkSession, paths: Sequence[str | Path]) -> DataFram
     """All records of the files as text, with _source_path, _input_index and _load_seq.
 
     _load_seq grows with the file, then with the place in it; it is unique and
-    has gaps. Each file is read once by its own header.
+    has gaps. Files of one header are read together, each once and whole by one
+    task, so the plan grows with the number of headers, not of files.
     """
     if not paths:
         raise ValueError("no file to load")
-    parts = []
+    by_header: dict[tuple[str, ...], list[Path]] = {}
+    known = []
     for i, p in enumerate(map(Path, paths)):
         if not p.is_file():
             raise FileNotFoundError(p)
         names = header(p)
         require_columns(p, names)
+        by_header.setdefault(tuple(names), []).append(p)
+        # a file's name as Spark escapes it
+        known.append((spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"file:{p.resolve()}").toUri().toString(), str(p), i))
+    if len({uri for uri, _, _ in known}) < len(paths):
+        raise ValueError("a file stands twice")
+    files = F.broadcast(spark.createDataFrame(known, "_uri string, _source_path string, _input_index int"))  # a short row a file
+    parts = []
+    for names, own in by_header.items():
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        rows = spark.read.schema(schema).csv(str(p), header=True, multiLine=True, escape='"', encoding="utf-8", enforceSchema=True)
-        seq = F.lit(i).cast("long") * F.lit(1 << 52) + F.monotonically_increasing_id()
-        parts.append(rows.select(*[F.col(f"`{c}`") for c in PROJECTED], F.lit(str(p)).alias("_source_path"), F.lit(i).alias("_input_index"), seq.alias("_load_seq")))
-    return reduce(DataFrame.unionByName, parts)
+        rows = spark.read.schema(schema).csv([str(p.resolve()) for p in own], header=True, multiLine=True, escape='"', encoding="utf-8", enforceSchema=True)
+        at = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/")
+        parts.append(rows.select(*[F.col(f"`{c}`") for c in PROJECTED], at.alias("_uri"), F.monotonically_increasing_id().alias("_place")))
+    index = F.coalesce("_input_index", F.raise_error(F.concat(F.lit("a record of an unknown file: "), F.col("_uri"))).cast("int"))
+    seq = F.col("_input_index").cast("long") * F.lit(1 << 52) + F.col("_place")
+    return reduce(DataFrame.unionByName, parts).join(files, "_uri", "left").select(*PROJECTED, "_source_path", index.alias("_input_index"), seq.alias("_load_seq"))
 
 
 def stream_projected(spark: SparkSession, folder: str, names: Sequence[str] = PROJECTED, files_per_trigger: int = 16) -> DataFrame:

@@ -82,6 +82,14 @@ def test_load_keeps_order_and_line_breaks(spark, tmp_path):
     rows = load_projected(spark, [a, b]).orderBy("_load_seq").collect()
     assert [r["contract_transaction_unique_key"] for r in rows] == ["TXN_1", "T2", "T3"]
     assert rows[0]["transaction_description"] == 'two\nlines, "quoted"'
+    odd = [write(tmp_path / n, [{"contract_transaction_unique_key": f"{n}{k}"} for k in range(3)]) for n in ("z 1.csv", "a+b%41é.csv", "m#.csv")]
+    many = load_projected(spark, [*odd, a, b])
+    got = many.orderBy("_load_seq").collect()
+    assert [r["contract_transaction_unique_key"] for r in got] == [f"{p.name}{k}" for p in odd for k in range(3)] + ["TXN_1", "T2", "T3"]
+    assert [(r["_input_index"], r["_source_path"]) for r in got[::3]] == [(0, str(odd[0])), (1, str(odd[1])), (2, str(odd[2])), (3, str(a))]
+    assert str(many._jdf.queryExecution().optimizedPlan()).count("Relation") == 2  # one per header, not per file
+    with pytest.raises(ValueError, match="twice"):
+        load_projected(spark, [a, a])
     with pytest.raises(FileNotFoundError):
         load_projected(spark, [tmp_path / "none.csv"])
     with pytest.raises(ValueError):
@@ -184,6 +192,14 @@ def test_stale_selections(spark, root, session):
         other.award_ids(s)
 
 
+def test_empty_selections_run_no_job(session):
+    none = session.resolve(psc_ids=[])
+    for df in (session.activity(none, date(2025, 1, 1), date(2025, 1, 2)), session.traverse(none), session.cards(none)):
+        assert "LocalRelation <empty>" in df._jdf.queryExecution().optimizedPlan().toString() and df.collect() == []
+    with pytest.raises(ValueError):
+        session.activity(none, date(2025, 1, 2), date(2025, 1, 1))
+
+
 def test_semantic_index(session):
     embedder = semantic.hashed_embedder(64)
     info = build_index(session, embedder, 64, "hash")
