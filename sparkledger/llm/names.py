@@ -104,6 +104,33 @@ def distance(a: str, b: str, limit: int) -> int:
     return row[len(b) - len(a) + limit]
 
 
+# The letter rows of a typewriter.
+ROWS = ("QWERTYUIOP", "ASDFGHJKL", "ZXCVBNM")
+_AT = {c: (r, i + r / 2) for r, row in enumerate(ROWS) for i, c in enumerate(row)}
+#: Cores of fewer letters than this that differ by two replaced letters alone are taken for two names.
+TELLING = 14
+
+
+def beside_each_other(x: str, y: str) -> bool:
+    """True for letters of which one is easily hit in place of the other."""
+    return x in _AT and y in _AT and abs(_AT[x][0] - _AT[y][0]) <= 1 and abs(_AT[x][1] - _AT[y][1]) <= 1
+
+
+def typos(a: str, b: str, limit: int) -> int:
+    """Typing errors from core a to core b, or limit + 1 if more, or if they are none.
+
+    Letters left out, doubled or swapped are slips at any length. Two letters
+    replaced, neither pair side by side on the keyboard, are as a rule another
+    name if the core is short: names of one pattern differ like that.
+    """
+    d = distance(a, b, limit)
+    if d == 2 and len(a) == len(b) < TELLING:
+        changed = [(x, y) for x, y in zip(a, b, strict=True) if x != y]
+        if len(changed) == 2 and not all(beside_each_other(x, y) for x, y in changed):
+            return limit + 1
+    return d
+
+
 #: Words longer than this are no known word.
 WORDY = 24
 #: Cores longer than this are blocked by their segments, which are fewer keys; shorter ones by left-out characters. Both lose no pair.
@@ -236,7 +263,7 @@ def same(a: str, b: str) -> bool:
         return False
     x, y = ca.replace(" ", ""), cb.replace(" ", "")
     limit = min(reach(x), reach(y))
-    if x != y and (limit == 0 or distance(x, y, limit) > limit):
+    if x != y and (limit == 0 or typos(x, y, limit) > limit):
         return False
     left, right = set(wa.split()), set(wb.split())
     return left == right
@@ -259,7 +286,7 @@ def near(members: list[str]) -> Iterator[tuple[str, str, int]]:
             continue
         (a, x), (b, y) = split[i], split[j]
         limit = min(reach(x), reach(y))
-        if a == b and limit and (d := distance(x, y, limit)) <= limit:
+        if a == b and limit and (d := typos(x, y, limit)) <= limit:
             yield (*sorted((members[i], members[j])), d)
 
 
@@ -367,7 +394,7 @@ def resolve_names(df: DataFrame, id: Column, name: Column) -> DataFrame:
     Distinct canonical spellings are all that is compared, so a name that a
     third of the rows bear counts once. Two are linked if they agree in the
     words of a company or a given name and in their initials, and at most two
-    typing errors lie between the rest.
+    typing errors (see ``typos``) lie between the rest.
 
     Profiles merge along links, in rounds: each proposes to the lowest of its
     partners (by an order drawn anew each round, profiles with initials first; a

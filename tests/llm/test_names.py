@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from sparkledger.llm.names import CROWD, distance, keys, near, resolve_names, same, snap, spelling
+from sparkledger.llm.names import CROWD, distance, keys, near, resolve_names, same, snap, spelling, typos
 
 
 def test_words_and_distance():
@@ -21,6 +21,12 @@ def test_spellings():
     assert s("") and s("---") and s("Ltd")
 
 
+def test_two_replaced_letters():
+    assert typos("SAMARADEFE", "SAMASADEGE", 2) == 3 and typos("SAMARADEFE", "SAMATADEGE", 2) == 2  # R and T, F and G lie side by side
+    assert typos("SAMARADEFE", "SAMARDAEFE", 2) == 1 and typos("SAMARADEFE", "SAMRADEFEE", 2) == 2 and typos("SAMARADEFE", "SAMASADEFE", 2) == 1
+    assert typos("SAMARADEFEKOLUN", "SAMASADEGEKOLUN", 2) == 2  # long enough to tell
+
+
 def groups_of(spark, names):
     df = spark.createDataFrame(names, "uei string, name string").repartition(3)
     groups = {}
@@ -48,7 +54,7 @@ def test_a_crowded_block_is_searched_alike():
     rng = random.Random(2)
     core = "QUENTALLISVORM"
     many = sorted({f"O|{edits(core, rng.randint(0, 3), rng)}" for _ in range(3 * CROWD)} | {"OFOODS|QUENTALLISVORM"})
-    brute = {(a, b) for i, a in enumerate(many) for b in many[i + 1 :] if a.split("|")[0] == b.split("|")[0] and 0 < distance(a.split("|")[1], b.split("|")[1], 2) <= 2}
+    brute = {(a, b) for i, a in enumerate(many) for b in many[i + 1 :] if a.split("|")[0] == b.split("|")[0] and 0 < typos(a.split("|")[1], b.split("|")[1], 2) <= 2}
     assert len(many) > CROWD and {(a, b) for a, b, _ in near(many)} == brute
 
 
@@ -99,7 +105,7 @@ def test_two_edits_share_a_block_at_every_length():
     node = lambda core: f"O|{core}"
     for n in (8, 9, 10, 11, 12, 13, 20, 22, 23, 24, 25, 26, 27, 28, 33, 40, 64, 65, 66, 79, 200, 1000):
         core = "".join(rng.choices("ABCDEFGHIJLMNOPRSTUVWY", k=n))
-        others = [x for x in (edits(core, 2, rng) for _ in range(40)) if distance(core, x, 2) <= 2 and len(x) >= 8]  # shorter ones allow one edit
+        others = [x for x in (edits(core, 2, rng) for _ in range(40)) if typos(core, x, 2) <= 2 and len(x) >= 8]  # shorter ones allow one edit
         if n < 80:
             others += [swap(swap(core, i), j) for i in range(0, n - 1) for j in range(i + 2, n - 1)]
         mine = keys(node(core))
