@@ -5,15 +5,16 @@ from __future__ import annotations
 import csv
 import json
 import shutil
+import tempfile
 import time
 import urllib.error
 import urllib.request
 import zipfile
-from collections.abc import Callable, Mapping
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Iterator, Mapping
+from dataclasses import dataclass, replace
 from datetime import date
 from pathlib import Path
-from typing import Any, Protocol
+from typing import Any, BinaryIO, Protocol
 
 from sparkledger.sources.columns import PROJECTED
 from sparkledger.sources.projected import header, require_columns
@@ -43,7 +44,10 @@ class Details(Protocol):
     def detail(self, source_id: str) -> dict[str, Any]: ...
 
 
+# Answers that say that the service is too busy.
 BUSY = {502, 503, 504}
+#: Seconds of rest before a failed job is put again, times the jobs so far.
+REST = 5.0
 
 
 @dataclass
@@ -62,6 +66,8 @@ class HttpService:
     polls: int = 300
     pause: float = 2.0
     timeout: float = 180.0
+    detail_tries: int = 4
+    detail_timeout: float = 60.0
     sleep: Callable[[float], None] = time.sleep
     opener: Callable[..., Any] = urllib.request.urlopen
 
@@ -99,56 +105,68 @@ class HttpService:
         raise RemoteError("the count is missing")
 
     def fetch(self, start: date, end: date, target: Path) -> int:
-        for job in range(1, self.jobs + 1):
+        """Records written to ``target``; a job that fails is put again, after a longer rest each time."""
+        target.parent.mkdir(parents=True, exist_ok=True)
+        for left in reversed(range(self.jobs)):
             try:
-                return self._fetch_once(start, end, target)
+                with tempfile.TemporaryFile(dir=target.parent) as packed:
+                    with self._open(self._product(start, end)) as r:
+                        shutil.copyfileobj(r, packed)
+                    return unpack(packed, target)
             except JobFailed:
-                if job == self.jobs:
+                if not left:
                     raise
-                self.sleep(1.5 * self.pause * job)
-        raise AssertionError
+                self.sleep(REST * (self.jobs - left))
+        raise ValueError("at least one job must be allowed")
 
-    def _fetch_once(self, start: date, end: date, target: Path) -> int:
-        asked = self._json(f"{self.base}/download/transactions/", {"filters": self.filters(start, end), "columns": list(PROJECTED), "file_format": "csv"})
-        name = asked.get("file_name")
-        if not name:
+    def _product(self, start: date, end: date) -> str:
+        """Put a job and follow it to the address of its file."""
+        job = self._json(f"{self.base}/download/transactions/", {"filters": self.filters(start, end), "columns": list(PROJECTED), "file_format": "csv"})
+        if not (name := job.get("file_name")):
             raise RemoteError("the download has no file name")
-        url = self._wait(asked.get("status_url") or f"{self.base}/download/status/?file_name={name}", str(name))
-        packed = target.with_name(target.name + ".zip.tmp")
-        target.parent.mkdir(parents=True, exist_ok=True)
-        try:
-            with self._open(url) as r, packed.open("wb") as f:
-                shutil.copyfileobj(r, f)
-            return unpack(packed, target)
-        finally:
-            packed.unlink(missing_ok=True)
-
-    def _wait(self, url: str, name: str) -> str:
-        for _ in range(self.polls):
-            said = self._json(url)
-            state, where = str(said.get("status") or "").lower(), said.get("file_url") or said.get("url")
-            if state in ("failed", "error"):
-                raise JobFailed(f"{name} failed")
-            if where and state in ("", "finished", "ready"):
-                return str(where)
-            self.sleep(self.pause)
+        watch = job.get("status_url") or f"{self.base}/download/status/?file_name={name}"
+        for turn in range(self.polls):
+            if turn:
+                self.sleep(self.pause)
+            news = self._json(watch)
+            match str(news.get("status") or "").lower():
+                case "failed" | "error":
+                    raise JobFailed(f"{name} failed")
+                case "" | "finished" | "ready" if address := news.get("file_url") or news.get("url"):
+                    return str(address)
         raise RemoteError(f"{name} was not ready in time")
 
     def detail(self, source_id: str) -> dict[str, Any]:
-        return self._json(f"{self.base}/awards/{source_id}/")
+        return replace(self, tries=self.detail_tries, timeout=self.detail_timeout)._json(f"{self.base}/awards/{source_id}/")
+
+    def details(self, source_ids: Iterable[str]) -> Iterator[tuple[str, dict[str, Any] | RemoteError]]:
+        """Many details one after the other, each once: what the service gave, or why it gave nothing."""
+        for i in dict.fromkeys(source_ids):
+            try:
+                yield i, self.detail(i)
+            except RemoteError as e:
+                yield i, e
+
 
+def unpack(packed: BinaryIO, target: Path) -> int:
+    """Take the file of prime transactions out of an archive; its number of data records.
 
-def unpack(packed: Path, target: Path) -> int:
-    """Take the file of prime transactions out of an archive; its number of data records."""
-    with zipfile.ZipFile(packed) as z:
-        names = [n for n in z.namelist() if "PrimeTransactions" in n and n.endswith(".csv")]
-        if not names:
+    The file is checked under a name of its own and takes its place only if it
+    has the columns that it must have.
+    """
+    with zipfile.ZipFile(packed) as archive:
+        member = next((n for n in archive.namelist() if n.endswith(".csv") and "PrimeTransactions" in n), None)
+        if member is None:
             raise RemoteError("the archive has no file of prime transactions")
-        with z.open(names[0]) as r, target.open("wb") as f:
-            shutil.copyfileobj(r, f)
-    try:
-        require_columns(target, header(target))
-    except ValueError as e:
-        raise RemoteError(str(e)) from e
+        aside = target.with_name(f"~{target.name}")
+        try:
+            with archive.open(member) as inside, aside.open("wb") as outside:
+                shutil.copyfileobj(inside, outside)
+            require_columns(target, header(aside))
+            aside.replace(target)
+        except ValueError as e:
+            raise RemoteError(str(e)) from e
+        finally:
+            aside.unlink(missing_ok=True)
     with target.open(encoding="utf-8-sig", newline="", errors="replace") as f:
         return max(0, sum(1 for _ in csv.reader(f)) - 1)

@@ -125,6 +125,14 @@ def test_http(tmp_path):
         service([*job[:1], {"status": "error"}] * 3)[0].fetch(D, D, tmp_path / "c.csv")
 
 
+def test_details_have_their_own_patience():
+    s, waits = service([503] * 3 + [{"id": 1}, 404, {"id": 3}])
+    got = dict(s.details(["a", "b", "a", "c"]))
+    assert got["a"] == {"id": 1} and got["c"] == {"id": 3} and isinstance(got["b"], RemoteError) and len(waits) == 3
+    with pytest.raises(TransientError):
+        service([503] * 4)[0].detail("a")
+
+
 def test_bounds_and_values(tmp_path):
     assert clamp("top_k", None) == 10 and clamp("top_k", 999) == 50
     with pytest.raises(ValueError):
