@@ -106,9 +106,7 @@ the lighthouse measures forty metres and stands beside the harbour
 by then about two thousand people worked on the canal
 hello to everyone at school
 hi mum
-test test test
 hahahahahahahaha
-hello hello hello hello hello
 lol lol lol
 asdf jkl asdfg hjkl dfgh sdfgh
 it lies ten km from the coast
