@@ -12,7 +12,7 @@ from sparkledger.llm.neighbours import nearest
 from sparkledger.llm.packing import fill_report, pack, token_counts
 from sparkledger.llm.survivors import survivors
 from sparkledger.llm.topn import top_n
-from sparkledger.llm.toxic import fit, labelled_texts, score_documents
+from sparkledger.llm.toxic import fit_tables, score_documents
 from sparkledger.plans.registry import Registry
 from sparkledger.sources.session import cut
 from sparkledger.sources.tables import table
@@ -152,7 +152,7 @@ def p3_entities(spark: SparkSession, d: str) -> DataFrame:
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    return score_documents(docs, fit(labelled_texts(docs, table(spark, d, "doc_labels"))), carried=("source",))
+    return score_documents(docs, fit_tables(docs, table(spark, d, "doc_labels")), carried=("source",))
 
 
 @R.add("p10_found")
